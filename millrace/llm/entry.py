@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, outliers, sharding, warc
+from . import mixing, outliers, sharding, topk, toxicity, warc
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(32)]
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages")), with_record=False)
 
@@ -28,9 +32,52 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("h", "n")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = (op1_topk_search, op3_warc_derivatives, op5_sharding, op7_quality_outliers, op9_mixing, op10_toxicity)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc_derivatives, op5_sharding, op7_quality_outliers, op9_mixing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_search": TOPK_SQL, "op5_sharding": SHARDING_SQL}
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+#: The table is filled turn by turn: each turn's shard takes the first free slot of its order.
+SHARDING_SQL = """
+WITH RECURSIVE shards AS (
+  SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 3, '0') AS name FROM range(32) t(i)
+), orders AS (
+  SELECT i, name, CAST('0x' || substr(md5(name || '/offset'), 1, 8) AS BIGINT) % 4099 AS o,
+         CAST('0x' || substr(md5(name || '/skip'), 1, 8) AS BIGINT) % 4098 + 1 AS k FROM shards
+), fill AS (
+  SELECT CAST(-1 AS BIGINT) AS turn, CAST(-1 AS BIGINT) AS slot, CAST(repeat('0', 4099) AS BIT) AS taken
+  UNION ALL
+  SELECT turn + 1, claim, set_bit(taken, CAST(claim AS INTEGER), 1) FROM (
+    SELECT turn, taken, (
+      SELECT min_by((o + j * k) % 4099, j) FROM range(4099) r(j)
+      WHERE get_bit(taken, CAST((o + j * k) % 4099 AS INTEGER)) = 0) AS claim
+    FROM fill JOIN orders ON i = (turn + 1) % 32 WHERE turn < 4098)
+)
+SELECT doc_id, slot, name AS shard
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 4099 AS slot FROM documents) d
+JOIN fill USING (slot) JOIN shards ON i = turn % 32
+"""
