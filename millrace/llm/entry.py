@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, outliers, sharding, topk, toxicity, warc
+from . import mixing, outliers, packing, sharding, topk, toxicity, warc
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(32)]
@@ -16,6 +16,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages")), with_record=False)
 
@@ -37,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_topk_search, op3_warc_derivatives, op5_sharding, op7_quality_outliers, op9_mixing, op10_toxicity)
+QUERIES = (op1_topk_search, op2_packing, op3_warc_derivatives, op5_sharding, op7_quality_outliers, op9_mixing, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
