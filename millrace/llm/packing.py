@@ -22,7 +22,7 @@ from .common import stored
 LENGTH, END = 2048, 1
 DIMS, BITS, HASHED = 4, 12, 4096
 #: Distinct words whose ids a Python worker keeps, and the longest word that it keeps.
-KEPT, KEPT_CHARS = 600_000, 48
+KEPT, KEPT_CHARS = 1_000_000, 48
 _SPACES = [chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -81,11 +81,11 @@ class Encoder:
             out[i] = np.array(e.ids, "<u2").tobytes()
         return out
 
-    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> list[str]:
+    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> list[str]:
         """Add what is new to what is known; gives back what must be forgotten after use."""
-        room, order = KEPT - len(known), list(new)
-        known.update(zip(order, self._coded(order, lead), strict=True))
-        return [x for k, x in enumerate(order) if k >= room or len(x) > KEPT_CHARS]
+        room = KEPT - len(known)
+        known.update(zip(new, self._coded(new, lead), strict=True))
+        return [x for k, x in enumerate(new) if k >= room or len(x) > KEPT_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
@@ -93,7 +93,8 @@ class Encoder:
         for at in range(0, len(texts), 128):
             cut = [self._pieces(t) for t in texts[at : at + 128]]
             heads, tails = {first for first, _ in cut}, set().union(*(later for _, later in cut))
-            passing = [(d, self._learn(d, x - d.keys(), s)) for d, x, s in ((self.first, heads, ""), (self.later, tails, " "))]
+            sides = ((self.first, heads, ""), (self.later, tails, " "))
+            passing = [(d, self._learn(d, [x for x in seen if x not in d], lead)) for d, seen, lead in sides]
             get = self.later.__getitem__
             out += [self.first[first] + b"".join(map(get, later)) for first, later in cut]
             for known, names in passing:
