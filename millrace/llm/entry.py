@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, minhash, mixing, outliers, packing, sharding, topk, toxicity, warc
+from . import lines, minhash, mixing, outliers, packing, passages, sharding, topk, toxicity, warc
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(32)]
@@ -40,6 +40,10 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_verdicts(table(spark, sf_dir, "documents").drop("n_chars"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("h", "n")
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_topk_search, op2_packing, op3_warc_derivatives, op4_minhash_near_dedup, op5_sharding, op6_line_dedup, op7_quality_outliers, op9_mixing, op10_toxicity)
+QUERIES = (op1_topk_search, op2_packing, op3_warc_derivatives, op4_minhash_near_dedup, op5_sharding, op6_line_dedup, op7_quality_outliers, op8_passages, op9_mixing, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
