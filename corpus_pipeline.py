@@ -1,25 +1,51 @@
-"""From raw documents to packed sequences, a stage at a time."""
+"""From raw documents to packed sequences, a stage at a time.
+
+Each stage takes what the one before kept, written as Parquet and read again. All but the last give the columns of
+documents; the last gives the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, outliers
+from millrace.llm import lines, minhash, mixing, outliers, packing
 from millrace.llm.common import stored, table
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return outliers.quality_documents(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from the texts, and documents of nothing else with them."""
+    return lines.line_deduplicated_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, on five-word shingles, stays."""
+    return minhash.distinct_documents(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as sequences of 2048 tokens, neighbours on the curve together."""
+    return packing.pack(docs).drop("ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources to target weights", source_mix),
+    ("packing", pack),
+]
 
+#: SQL can't express the robust estimates, the seeded rounding or the tokenizer; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
