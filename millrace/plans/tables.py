@@ -132,7 +132,7 @@ class Tables:
         columns = list(columns or now.columns)
         if not isinstance(rows, DataFrame):
             kinds = {f.name.lower(): f.dataType for f in self._schemas[name.lower()].fields}
-            rows = self.spark.createDataFrame(list(rows), T.StructType([T.StructField(c, kinds[c.lower()]) for c in columns]))
+            rows = self.spark.createDataFrame(list(rows), T.StructType([T.StructField(c, kinds.get(c.lower(), T.StringType())) for c in columns]))
         self._publish(name.lower(), now.unionByName(self._filled(name.lower(), rows.toDF(*columns))))
 
     def update(self, name: str, assignments: Mapping[str, Column], where: Column | None = None) -> int:
