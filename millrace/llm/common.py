@@ -41,3 +41,12 @@ def words_of(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Rows of a few numbers up to which a table may be broadcast; they are counted first.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_join(rows: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """rows joined with a table of narrow rows: broadcast if it has at most BROADCAST_ROWS, shuffled with rows otherwise."""
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
