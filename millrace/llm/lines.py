@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_join, stored
 from .graph import components
 
 BLOCKS, RADIUS = 5, 3
@@ -23,8 +23,6 @@ MIN_WORDS = 5
 #: A hash's 63 bits are counted seven at a time, in one long of 9-bit counters; they count so many words.
 BITS, _PART, _WIDTH, _MOST = 63, 7, 9, 511
 _CUTS = [round(BITS * k / BLOCKS) for k in range(BLOCKS + 1)]
-#: Rows of 16 bytes up to which a table may be broadcast; its rows are counted first.
-BROADCAST_ROWS = 1_000_000
 
 
 def normalised(line: Column) -> Column:
@@ -127,19 +125,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     grouped = classes.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
     repeated = stored(grouped.join(kept, "component").select("h1", "h2", "keep"))
-    rows = _small(repeated, _lines(docs).drop("norm"), ["h1", "h2"])
+    rows = small_join(_lines(docs).drop("norm"), repeated, ["h1", "h2"])
     return rows.filter(~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("keep"))).select("doc_id", "text_hash", "line_no")
 
 
-def _small(table: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined with table, which is broadcast if its counted rows are few, and shuffled with them otherwise."""
-    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on)
-
-
 def _texts(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
     """id, norm of the classes that are needed, from any of their occurrences."""
     wanted = stored(classes.join(needed.distinct(), "id", "left_semi").select("id", "h1", "h2"))
-    return stored(_small(wanted, _lines(docs), ["h1", "h2"]).groupBy("id").agg(F.min("norm").alias("norm")))
+    return stored(small_join(_lines(docs), wanted, ["h1", "h2"]).groupBy("id").agg(F.min("norm").alias("norm")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
