@@ -81,10 +81,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     of = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"norm_{c}"))
     longer = F.greatest(F.char_length("norm_a"), F.char_length("norm_b"))
     most = F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")
-    distance = F.call_function("levenshtein", F.col("norm_a"), F.col("norm_b"))
+    distance = F.call_function("levenshtein", F.col("norm_a"), F.col("norm_b"), most)  # -1 if it is more than that
     near = F.abs(F.char_length("norm_a") - F.char_length("norm_b")) <= most
     joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    return joined.select("a", "b", F.when(near, distance <= most).otherwise(F.lit(False)).alias("linked"))
+    return joined.select("a", "b", F.when(near, distance >= 0).otherwise(F.lit(False)).alias("linked"))
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
