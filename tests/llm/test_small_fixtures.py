@@ -136,6 +136,15 @@ def test_near_duplicates(spark, nothing):
     assert kept.columns == df.columns and kept.count() <= len(rows)
 
 
+def test_texts_under_one_or_no_id_stay_apart(spark):
+    copy = " ".join(words(31, 60))
+    rows = [(1, copy, "a"), (2, copy, "a"), (2, " ".join(words(32, 60)), "a"), (2, " ".join(words(33, 60)), "b"), (None, copy, "a"), (None, None, "a"), (None, "", "b")]
+    rows += [(None, " ".join(words(40 + i, 60)), "a") for i in range(6)] + [(None, " ".join(words(40, 60)), "b"), (3, " ".join(words(41, 59)), "c"), (2, " ".join(words(32, 60)), "a")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in minhash.distinct_documents(docs_of(spark, rows)).collect())
+    want = [(False, 1, copy), (False, 2, rows[2][1]), (False, 2, rows[3][1]), (True, 0, ""), (True, 0, ""), (False, 3, rows[14][1])]
+    assert got == sorted(want + [(True, 0, r[1]) for r in (rows[7], *rows[9:13])])
+
+
 def test_every_pair_within_the_radius_shares_a_key():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 16, (300, minhash.SYMBOLS)).astype(np.uint16)
