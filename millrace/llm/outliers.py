@@ -4,7 +4,8 @@ Every text gets a few counts; transformed, they make a vector. For each language
 determinant estimate is the mean and covariance of the three quarters of the vectors that lie closest together. It is
 found by concentration steps from two starts (the middle of each coordinate, and the plain mean): take the closest
 share, estimate again, repeat; of the two the one with the smaller determinant holds. A text whose squared
-Mahalanobis distance to its group is above a chi-square quantile is rejected.
+Mahalanobis distance to its group is above a chi-square quantile is rejected. Texts of a group too small for an estimate
+are held against that of their language, and those of a language too small against that of all texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ MIN_WORDS = 20
 SHARE, STEPS = 0.75, 4
 #: Least standard deviation of each coordinate: closer groups, as of copies, don't make rules of their own.
 FLOORS = (0.12, 0.04, 0.12, 0.2)
-#: A group of fewer texts that pass the base rules has no estimate of its own; its texts are kept.
+#: A group of fewer texts that pass the base rules has no estimate of its own; the next wider one judges its texts.
 MIN_GROUP = 40
+#: The name of a key over which a wider group goes.
+ANY = "*"
 #: A clean text is rejected about this seldom if its vector is normally distributed.
 TAIL = 1e-6
 DIMS = len(FLOORS)
@@ -106,7 +109,11 @@ def _vector(df: DataFrame) -> DataFrame:
 
 
 def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean m_i and Cholesky factor l_ij of the covariance, with the floors' squares on its diagonal, and its log_det."""
+    """Mean m_i and Cholesky factor l_ij of the covariance, with the floors' squares on its diagonal, and its log_det.
+
+    In a wider group they count twice: as the least variance within groups, and as that of the small groups' means.
+    """
+    wide = F.greatest(*[F.when(F.col(k) == ANY, F.lit(2.0)).otherwise(F.lit(1.0)) for k in keys], F.lit(1.0))
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)]
     sums += [F.avg(F.col(XS[i]) * F.col(XS[j])).alias(f"s{i}{j}") for i, j in PAIRS]
     out = rows.groupBy(*keys).agg(*sums)
@@ -114,7 +121,7 @@ def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
         for i in range(j, DIMS):
             cov = F.col(f"s{j}{i}") - F.col(f"m{j}") * F.col(f"m{i}")
             if i == j:
-                cov = F.greatest(cov, F.lit(0.0)) + F.lit(FLOORS[i] ** 2)
+                cov = F.greatest(cov, F.lit(0.0)) + F.lit(FLOORS[i] ** 2) * wide
             for k in range(j):
                 cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             cell = F.sqrt(F.greatest(cov, F.lit(1e-9))) if i == j else cov / F.col(f"l{j}{j}")
@@ -168,9 +175,7 @@ def _middles(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def robust_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The estimate of each group of rows (keys without nulls, x0..x3) with at least MIN_GROUP rows."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_GROUP).drop("n")
-    rows = rows.join(sizes, keys)
+    """The estimate of each group of rows (keys without nulls, x0..x3)."""
     near = sum((((F.col(x) - F.col(f"m{i}")) / FLOORS[i]) ** 2 for i, x in enumerate(XS)), F.lit(0.0))
     middle = rows.join(_middles(rows, keys), keys).select(*keys, *XS, F.lit("middle").alias("start"), near.alias("d2"))
     mean = rows.join(_estimate(rows, keys), keys).select(*keys, *XS, F.lit("mean").alias("start"), _distance().alias("d2"))
@@ -185,13 +190,27 @@ def robust_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best", "start")
 
 
+def _judging(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, and _j of each: the group itself if MIN_GROUP of its texts pass, else the least wider one of which so many
+    do, with ANY for the last keys; at last that of all texts, of however few."""
+    sizes = stats.groupBy(*keys).agg(F.count_if(~F.col("base_failed")).alias("n0"))
+    for k in range(1, len(keys)):
+        wider = keys[: len(keys) - k]
+        sizes = sizes.join(sizes.groupBy(*wider).agg(F.sum("n0").alias(f"n{k}")), wider)
+    level = F.lit(len(keys))
+    for k in reversed(range(len(keys))):
+        level = F.when(F.col(f"n{k}") >= MIN_GROUP, k).otherwise(level)
+    return sizes.select(*keys, *[F.when(level < len(keys) - i, F.col(k)).otherwise(F.lit(ANY)).alias(f"_j{k}") for i, k in enumerate(keys)])
+
+
 def quality_verdicts(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The columns of docs but text, with the five counts, base_failed, distance2 double and kept boolean.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated 8-word windows. The estimates are made
     from the texts that pass. Null languages or sources make groups of their own. Texts that fail have no part in an
-    estimate, are not kept and have a distance only if their group has an estimate; texts of groups below MIN_GROUP are
-    kept with a null distance. Equal rows get equal verdicts.
+    estimate and are not kept; they have a distance if any text passes. In groups of fewer than MIN_GROUP texts that pass,
+    the estimate of the language (the keys without the last) holds, and if that has fewer, that of all texts. Equal rows
+    get equal verdicts.
     """
     clash = {"kept", "base_failed", "distance2", *XS}
     stats = text_statistics(docs.drop(*clash))
@@ -200,10 +219,14 @@ def quality_verdicts(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source
     # a null key becomes a value that no other key has
     named = {k: F.coalesce(F.concat(F.lit("="), F.col(g)), F.lit("null")) for k, g in zip(keys, groups, strict=True)}
     stats = stored(_vector(stats.withColumn("base_failed", failed)).withColumns(named))
-    found = robust_estimates(stats.filter(~F.col("base_failed")).select(*keys, *XS), keys)
+    judging = stored(_judging(stats, keys))
+    wider = [F.struct(*[(F.col(k) if i < len(keys) - n else F.lit(ANY)).alias(k) for i, k in enumerate(keys)]) for n in range(len(keys) + 1)]
+    rows = stats.filter(~F.col("base_failed")).select(F.explode(F.array(*wider)).alias("g"), *XS).select("g.*", *XS)
+    asked = judging.select(*[F.col(f"_j{k}").alias(k) for k in keys]).distinct()
+    found = robust_estimates(stored(rows.join(asked, keys, "left_semi")), keys).withColumnsRenamed({k: f"_j{k}" for k in keys})
     #: A share of the closest rows has a smaller spread than the whole; for a normal one by this factor.
     spread = SHARE / (1 - _upper_tail(chi_square(1 - SHARE), DIMS + 2))
-    judged = stats.join(found, keys, "left").withColumn("distance2", _distance() / spread)
+    judged = stats.join(judging, keys).join(found, [f"_j{k}" for k in keys], "left").withColumn("distance2", _distance() / spread)
     inlier = F.coalesce(F.col("distance2") <= chi_square(TAIL), F.lit(True))
     others = [c for c in stats.columns if c not in (*keys, *XS)]
     return judged.select(*others, "distance2", (~F.col("base_failed") & inlier).alias("kept"))

@@ -200,6 +200,18 @@ def test_outliers(spark, nothing):
     assert abs(outliers.chi_square(0.05) - 9.4877) < 1e-3
 
 
+def test_small_groups_are_judged_by_wider_ones(spark):
+    rng = np.random.default_rng(19)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 100)) for _ in range(90)]
+    rows = [(i, t, "en" if i < 60 else f"l{i}", f"s{i % 30}", None) for i, t in enumerate(texts)]
+    junk = " ".join(f"z{i}###$$$%%%" for i in range(60))
+    rows += [(900, junk, "en", "s1", None), (901, junk, "l70", "s10", None), (902, junk, None, None, None)]
+    for kept in (rows, rows[80:]):  # two texts in each group, and thirteen in all
+        got = {r.doc_id: r for r in outliers.quality_verdicts(spark.createDataFrame(kept, DOCS)).collect()}
+        assert {i for i, r in got.items() if not r.kept} == {900, 901, 902}
+        assert all(r.distance2 is not None for r in got.values())
+
+
 def test_passages(spark, odd, nothing):
     got = {(r.doc_id): (r.start_word, r.n_words, r.class_id) for r in passages.passages(odd).filter("doc_id IN (6, 7)").collect()}
     assert got[6][0] <= 80 and got[6][0] + got[6][1] >= 140 and got[7][0] <= 90 and got[7][0] + got[7][1] >= 150
