@@ -221,6 +221,40 @@ def test_passages(spark, odd, nothing):
     assert passages.passages(nothing).count() == 0
 
 
+def edited(rng, body, n, kind):
+    out = list(body)
+    for k in sorted(rng.choice(np.arange(6, len(body) - 6), n, replace=False), reverse=True):
+        if kind == "in":
+            out.insert(k, f"new{k}")
+        elif kind == "out":
+            del out[k]
+        else:
+            out[k] = f"new{k}"
+    return out
+
+
+def test_passages_with_words_put_in_and_left_out():
+    rng = np.random.default_rng(8)
+    for size, most in ((60, 1), (80, 1), (200, 4), (400, 9)):
+        for kind in ("in", "out", "changed"):
+            for n in range(1, 3 * most + 1):
+                body = [f"b{i}" for i in range(size)]
+                near = edited(rng, body, n, kind)
+                a, b = (passages._sequences([" ".join(t)])[0] for t in (body, near))
+                common = len(np.intersect1d(a, b))
+                long = max(len(body), len(near))
+                x, y = ([f"{c}{i}" for i in range(40)] + t + [f"{c}{c}{i}" for i in range(40)] for c, t in (("p", body), ("q", near)))
+                rows = passages._sequences([" ".join(x), " ".join(y)])
+                found = passages.stretches(*rows, [0])
+                if common >= 0.8 * (len(a) + len(b) - common) and min(len(a), len(b)) >= passages.SPAN:
+                    assert any(xs <= 46 and xe >= 40 + len(a) - 6 and ys <= 46 and ye >= 40 + len(b) - 6 for xs, xe, ys, ye in found), (size, kind, n)
+                for xs, xe, ys, ye in found:
+                    assert min(xe - xs, ye - ys) >= passages.SPAN and max(xe - xs, ye - ys) <= long + 80
+    p, q = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(70)]
+    rows = passages._sequences([" ".join([*p, *q]), " ".join([*q, *p])])
+    assert passages.stretches(*rows, [0]) == [(0, 56, 70, 126), (60, 126, 0, 66)]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(100):
