@@ -255,6 +255,35 @@ def test_passages_with_words_put_in_and_left_out():
     assert passages.stretches(*rows, [0]) == [(0, 56, 70, 126), (60, 126, 0, 66)]
 
 
+def test_passages_link_all_pairs_of_a_key(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for f in range(60):  # x ~ y ~ z ~ u, but x isn't near z or u, nor y near u
+        text = [f"f{f}w{i}" for i in range(60)]
+        for i, k in enumerate((None, 30, 10, 50)):
+            text = [f"f{f}new{k}" if j == k else w for j, w in enumerate(text)]
+            rows.append((f * 4 + i, " ".join(text), "a"))
+    ids = rng.permutation(len(rows))
+    df = docs_of(spark, [(int(ids[i]), t, s) for i, t, s in rows])
+    of_key, sets, root = {}, {i: h for i, h in zip((int(ids[i]) for i, _, _ in rows), passages._sequences([t for _, t, _ in rows]), strict=True)}, {}
+    for r in passages._places(passages._windows(df)).collect():
+        of_key.setdefault(r.key, []).append((r.doc_id, r.c))
+    for group in of_key.values():
+        for x, c in group:
+            for y, d in group:
+                if x < y and passages.stretches(sets[x], sets[y], [d - c]):
+                    a, b = root.get(x, x), root.get(y, y)
+                    members = {x, y} | {k for k, v in root.items() if v in (a, b)}
+                    root.update(dict.fromkeys(members, min(a, b)))
+    got = {}
+    for r in passages.passages(df).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    want = {}
+    for k, v in root.items():
+        want.setdefault(v, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) == 4
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(100):
