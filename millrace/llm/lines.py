@@ -1,9 +1,9 @@
 """Fuzzy line dedup, in DataFrame functions alone.
 
-Lines are normalised: lower case, letters only, single spaces. Equal ones are one class. The SimHash of a class sums,
-bit by bit, the hashes of its words; bits that most words set are set. It is split into BLOCKS blocks, and as at most
+Lines are normalised: lower case, letters with their marks and digits only, single spaces. Equal ones are one class. The
+SimHash of a class sums, bit by bit, the hashes of its words, digits and marks left aside; bits that most words set are set. It is split into BLOCKS blocks, and as at most
 RADIUS bits may differ, two near lines agree in at least two blocks: each pair of blocks is a key to join on. Lines that
-meet are verified by edit similarity. Of each connected group one occurrence stays, the first by doc_id and line.
+meet, and lines of the same letters, are verified by edit similarity. Of each connected group one occurrence stays, the first by doc_id and line.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_join, stored
+from .common import WORD, small_join, stored
 from .graph import components
 
 BLOCKS, RADIUS = 5, 3
 SIMILARITY = 0.8
-#: Shorter lines are only held equal, never near.
+#: Shorter lines are only near others of the same letters.
 MIN_WORDS = 5
 #: A hash's 63 bits are counted seven at a time, in one long of 9-bit counters; they count so many words.
 BITS, _PART, _WIDTH, _MOST = 63, 7, 9, 511
@@ -26,6 +26,10 @@ _CUTS = [round(BITS * k / BLOCKS) for k in range(BLOCKS + 1)]
 
 
 def normalised(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
+def letters(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
 
 
@@ -60,20 +64,22 @@ def with_simhash(df: DataFrame) -> DataFrame:
     return df.select(*names, "n_words", F.when(short, bits).otherwise(one_by_one).alias("simhash"))
 
 
-def _lines(docs: DataFrame, with_norm: bool = False) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, h1, h2 (of the normalised line), and norm, for each line with a letter."""
     lines = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
     )
-    lines = lines.select("doc_id", "text_hash", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
+    lines = lines.filter(F.col("line").rlike(r"\p{L}")).select("doc_id", "text_hash", "line_no", normalised(F.col("line")).alias("norm"))
     return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, id, simhash: for each pair of blocks a hash of which they are and of their bits."""
+    """key, id, simhash: for each pair of blocks a hash of which they are and of their bits; of a line of fewer than
+    MIN_WORDS words the hash of its letters. Lines of the same letters have the same SimHash, so they meet either way."""
     block = lambda i: F.shiftrightunsigned("simhash", _CUTS[i]).bitwiseAND((1 << _CUTS[i + 1] - _CUTS[i]) - 1)
     keys = [F.xxhash64(F.lit(BLOCKS * i + j), block(i), block(j)) for i, j in combinations(range(BLOCKS), 2)]
-    return classes.select("id", "simhash", F.explode(F.array(*keys)).alias("key"))
+    keys = F.when(F.col("n_words") >= MIN_WORDS, F.array(*keys)).otherwise(F.array("letters_hash"))
+    return classes.select("id", "simhash", F.explode(keys).alias("key"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -89,17 +95,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no of each line to drop from docs (doc_id, text)."""
+    lines = _lines(docs).withColumn("norm", letters(F.col("norm")))
     grouped = (
-        with_simhash(_lines(docs))
+        with_simhash(lines.withColumn("letters_hash", F.xxhash64(F.lit(-1), "norm")))
         .groupBy("h1", "h2")
         .agg(
             F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n"),
-            F.first("simhash").alias("simhash"), F.first("n_words").alias("n_words"),
+            F.first("simhash").alias("simhash"), F.first("n_words").alias("n_words"), F.first("letters_hash").alias("letters_hash"),
         )
     )
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
-    fuzzy = classes.filter(F.col("n_words") >= MIN_WORDS)
-    keys = _keys(fuzzy)
+    keys = _keys(classes)
     leaders = keys.groupBy("key").agg(F.min(F.struct("id", "simhash")).alias("leader"), F.count("*").alias("m")).filter("m > 1")
     shared = stored(keys.join(leaders.select("key", "leader"), "key"))
     near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("leader.simhash"))) <= RADIUS
@@ -139,7 +145,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines taken out of text; n_lines and n_dropped (long) are added.
 
     A null or empty text stays as it is, as do lines without letters. Lines of fewer than MIN_WORDS words are repeated
-    only if they are equal once normalised. Rows that repeat both doc_id and text count as one and are cut alike. Other
+    only by lines of the same letters, if digits and marks leave them near. Rows that repeat both doc_id and text count as one and are cut alike. Other
     columns are carried as they are; columns of docs named n_lines or n_dropped are replaced.
     """
     drop = duplicate_lines(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_drop"))
@@ -158,6 +164,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def line_deduplicated_documents(docs: DataFrame) -> DataFrame:
-    """The columns of docs; documents that lose every line with a letter are left out."""
-    left = (F.col("n_dropped") == 0) | (normalised(F.col("text")) != "")
+    """The columns of docs; documents that lose lines and have none left but blank ones are left out."""
+    left = (F.col("n_dropped") == 0) | F.col("text").rlike(WORD)
     return deduplicated(docs).filter(left).select(*docs.columns)

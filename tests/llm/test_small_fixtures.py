@@ -180,6 +180,15 @@ def test_lines(spark, nothing):
     assert lines.deduplicated(nothing).count() == 0
 
 
+def test_lines_that_differ_in_digits_or_marks(spark):
+    row = "total amount of the order due"
+    texts = ["Tel: 555-1234\nkg 3", "Tel: 98 76 54 32 10\nkg 12,500.75", "tel 555 1235", f"{row} 1", f"{row} 2", f"{row} 123 456 789 101", "\u0915\u093f \u0915\u0940", "\u0915\u0941 \u0915\u0942", "kg 3\n12 13", "kg 3\n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.deduplicated(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0, 7: 0, 8: 1, 9: 1}
+    assert {r.doc_id: r.text for r in lines.line_deduplicated_documents(df).collect()} == {**{i: texts[i] for i in (0, 1, 3, 5, 6, 7)}, 8: "12 13"}
+
+
 def test_simhash_counts_bits(spark):
     df = spark.createDataFrame([(" ".join(words(s, n)),) for s, n in ((1, 1), (2, 30), (3, 511), (4, 512), (5, 900))], "norm string")
     for r in lines.with_simhash(df.withColumn("h", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))).collect():
