@@ -1,67 +1,86 @@
 """Fuzzy line dedup, in DataFrame functions alone.
 
-Lines are normalised: lower case, letters with their marks and digits only, single spaces. Equal ones are one class. The
-SimHash of a class sums, bit by bit, the hashes of its words, digits and marks left aside; bits that most words set are set. It is split into BLOCKS blocks, and as at most
-RADIUS bits may differ, two near lines agree in at least two blocks: each pair of blocks is a key to join on. Lines that
-meet, and lines of the same letters, are verified by edit similarity. Of each connected group one occurrence stays, the first by doc_id and line.
+Lines are normalised: lower case, letters with their marks and digits only, single spaces. Equal ones are one class. A
+line's features are its words, a short word together with the one before it; letters of scripts without spaces are words.
+Features lie on a ring by their hash, and the ring is cut at fixed points. A line's signature has a block for each cut:
+the SimHash (bit by bit what most hashes have) of the few features that follow. An edit changes the few blocks whose
+features it touches, so by the pigeonhole principle near lines agree in others, on which they are joined. Short lines have
+blocks of three words, from every feature on, and of letter triples too. One SimHash of a whole line, cut into blocks,
+has no such blocks: a changed word in ten moves bits of nearly all of them.
+
+Lines that meet are verified by edit similarity. Of each connected group one occurrence stays, the first by doc_id and line.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, small_join, stored
+from .common import WORD, dropped, small_join, stored
 from .graph import components
 
-BLOCKS, RADIUS = 5, 3
 SIMILARITY = 0.8
-#: Shorter lines are only near others of the same letters.
-MIN_WORDS = 5
-#: A hash's 63 bits are counted seven at a time, in one long of 9-bit counters; they count so many words.
-BITS, _PART, _WIDTH, _MOST = 63, 7, 9, 511
-_CUTS = [round(BITS * k / BLOCKS) for k in range(BLOCKS + 1)]
+#: Features of a block, and cuts of the ring.
+BLOCK, CUTS = 4, 16
+#: Lines of at most WHOLE features have blocks of BLOCK - 1, from every feature on.
+WHOLE = 14
+#: Lines of at most so many characters have blocks of letter triples too.
+LETTERS_TO = 60
+#: A word of at most so many characters counts together with the one before it.
+SHORT_WORD = 3
+#: Rounds in which the classes of a key are held against one of them, before all that aren't of one group meet.
+ROUNDS = 2
+#: Characters of a piece in the bound of an edit distance.
+PIECE = 256
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def letters(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
-
-
-def _lane(spread: Column, k: int):
-    """Adds one to the counters of the bits set in part k of a hash."""
-    return lambda a, h: a + F.get(spread, F.shiftrightunsigned(h, _PART * k).bitwiseAND((1 << _PART) - 1).cast("int"))
-
-
-def with_simhash(df: DataFrame) -> DataFrame:
-    """Add simhash long from the column norm; bit b is set if more than half of the words' hashes set it."""
-    spread = F.array(*[F.lit(sum(1 << _WIDTH * j for j in range(_PART) if v >> j & 1)).cast("long") for v in range(1 << _PART)])
-    names = [c for c in df.columns if c not in ("hashes", "n_words")]
-    df = df.select(*names, F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hashes"))
-    counts = [
-        F.aggregate("hashes", F.lit(0).cast("long"), _lane(spread, k))
-        for k in range(BITS // _PART)
-    ]
-    short = F.size("hashes") <= _MOST
-    df = df.select(*names, "hashes", F.size("hashes").alias("n_words"), *[F.when(short, c).alias(f"lane{k}") for k, c in enumerate(counts)])
-    bits = F.lit(0).cast("long")
-    for b in range(BITS):
-        count = F.shiftrightunsigned(F.col(f"lane{b // _PART}"), _WIDTH * (b % _PART)).bitwiseAND(_MOST)
-        bits = bits.bitwiseOR(F.when(2 * count > F.col("n_words"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
-    one_by_one = F.aggregate(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(BITS - 1)),
-            lambda b: F.struct(b.alias("b"), F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, b).bitwiseAND(1)).alias("n")),
-        ),
-        F.lit(0).cast("long"),
-        lambda a, x: F.when(2 * x["n"] > F.col("n_words"), a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["b"]))).otherwise(a),
-    )
-    return df.select(*names, "n_words", F.when(short, bits).otherwise(one_by_one).alias("simhash"))
+def word_features(norm: Column) -> Column:
+    """The sorted different hashes of the words of a normalised line."""
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(norm, _UNSPACED, " $1 "), " +", " "))
+    words = F.split(F.when(F.octet_length(norm) > F.char_length(norm), spaced).otherwise(norm), " ")
+    short = lambda w: F.char_length(w) <= SHORT_WORD
+    one = lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.when(short(w), F.get(words, i - 1))))
+    return F.sort_array(F.array_distinct(F.transform(F.array(words), one)[0]))
+
+
+def letter_features(norm: Column) -> Column:
+    """The sorted different hashes of the letter triples of a normalised line; of fewer letters, the one of all."""
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(norm) - 2, F.lit(1)))
+    return F.sort_array(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.lit(3), F.substring(norm, i, F.lit(3))))))
+
+
+def simhash(hashes: list[Column]) -> Column:
+    """Of three or four hashes, each bit as most have it; as the first has it, where two have it and two don't."""
+    a, b, c, *rest = hashes
+    if not rest:
+        return a.bitwiseAND(b.bitwiseOR(c)).bitwiseOR(b.bitwiseAND(c))
+    d = rest[0]
+    return a.bitwiseAND(b.bitwiseOR(c).bitwiseOR(d)).bitwiseOR(b.bitwiseAND(c).bitwiseAND(d))
+
+
+def _blocks(ring: Column, tag: int) -> Column:
+    """The SimHash of BLOCK features of the ring in a row, from the first after each cut on; if they are few, of one less
+    from each one on. Of still fewer features, the hash of all."""
+    n = F.size(ring)
+    block = lambda size: lambda i: simhash([F.get(ring, (i + k) % n) for k in range(size)]).bitwiseXOR(F.lit(tag))
+    part = lambda i: F.shiftright(F.get(ring, i), 64 - CUTS.bit_length() + 1)
+    at = F.sequence(F.lit(0), n - 1)
+    cut = F.filter(at, lambda i: (i == 0) | (part(i) != part(i - 1)))
+    few = F.when(n >= BLOCK - 1, F.transform(at, block(BLOCK - 1))).otherwise(F.array(F.xxhash64(ring, F.lit(tag))))
+    return F.when(n > WHOLE, F.transform(cut, block(BLOCK))).otherwise(few)
+
+
+def with_keys(classes: DataFrame) -> DataFrame:
+    """key, id, len: for each class (id, norm) its blocks, and its length in characters."""
+    rows = classes.select("id", "norm", F.char_length("norm").alias("len"), word_features(F.col("norm")).alias("ring"))
+    triples = F.transform(F.array(letter_features(F.col("norm"))), lambda ring: _blocks(ring, 1))[0]
+    keys = F.concat(_blocks(F.col("ring"), 0), F.when(F.col("len") <= LETTERS_TO, triples).otherwise(F.array().cast("array<long>")))
+    return rows.select("id", "len", F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -73,86 +92,110 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """key, id, simhash: for each pair of blocks a hash of which they are and of their bits; of a line of fewer than
-    MIN_WORDS words the hash of its letters. Lines of the same letters have the same SimHash, so they meet either way."""
-    block = lambda i: F.shiftrightunsigned("simhash", _CUTS[i]).bitwiseAND((1 << _CUTS[i + 1] - _CUTS[i]) - 1)
-    keys = [F.xxhash64(F.lit(BLOCKS * i + j), block(i), block(j)) for i, j in combinations(range(BLOCKS), 2)]
-    keys = F.when(F.col("n_words") >= MIN_WORDS, F.array(*keys)).otherwise(F.array("letters_hash"))
-    return classes.select("id", "simhash", F.explode(keys).alias("key"))
+def _same(x: Column, y: Column) -> Column:
+    """How many characters two texts begin with alike, by halved steps; of longer ones than 2^21, so many at least."""
+    step = lambda n, s: F.when(F.substring(x, n + 1, s) == F.substring(y, n + 1, s), n + s).otherwise(n)
+    return F.least(F.aggregate(F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), F.lit(0), step), F.char_length(x), F.char_length(y))
+
 
+def _unlike(pairs: DataFrame) -> DataFrame:
+    """pairs (.., x, y) without the characters that x and y begin and end with alike; their edit distance is the same."""
+    names = [c for c in pairs.columns if c not in ("x", "y")]
+    for _ in range(2):
+        rest = [F.reverse(F.expr(f"substring({c}, same + 1)")).alias(c) for c in "xy"]
+        pairs = pairs.withColumn("same", _same(F.col("x"), F.col("y"))).select(*names, *rest)
+    return pairs
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+
+def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, linked: linked if the edit distance is at most (1 - SIMILARITY) of the longer line's length."""
-    of = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"norm_{c}"))
-    longer = F.greatest(F.char_length("norm_a"), F.char_length("norm_b"))
-    most = F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")
-    distance = F.call_function("levenshtein", F.col("norm_a"), F.col("norm_b"), most)  # -1 if it is more than that
-    near = F.abs(F.char_length("norm_a") - F.char_length("norm_b")) <= most
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    return joined.select("a", "b", F.when(near, distance >= 0).otherwise(F.lit(False)).alias("linked"))
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = stored(small_join(classes.select("id", "norm"), needed, "id", "left_semi"))
+    of = lambda c, name: texts.select(F.col("id").alias(c), F.col("norm").alias(name))
+    joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    longer = F.greatest(F.char_length("x"), F.char_length("y"))
+    cut = _unlike(joined.withColumn("most", F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")))
+    distance = F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("most"))  # -1 if it is more than that
+    # the distances piece by piece add up to no less than the distance, in time that grows with the length alone
+    piece = lambda c, i: F.substring(F.col(c), i * PIECE + 1, F.lit(PIECE))
+    pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("x"), F.char_length("y")) / PIECE).cast("int"))
+    bound = F.aggregate(pieces, F.lit(0), lambda n, i: n + F.levenshtein(piece("x", i), piece("y", i)))
+    held = stored(cut.select("a", "b", F.when(bound <= F.col("most"), True).otherwise(distance >= 0).alias("linked")))
+    dropped(needed, texts)
+    return held
+
+
+def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (key, id, len) with the component that links make of their id."""
+    part = components(links).select(F.col("node").alias("id"), "component")
+    return small_join(rows, part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def near_lines(classes: DataFrame) -> DataFrame:
+    """a, b: links between classes (id, norm) that connect all that meet in a key and have SIMILARITY.
+
+    In each key the classes are held against its least one, then, where they aren't of one group yet, against another one,
+    and at last all against all of other groups, so no pair that shares a key is left out.
+    """
+    keys = with_keys(classes)
+    leaders = stored(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key"))
+    rows = stored(small_join(keys, leaders, "key", "left_semi"))
+    allowed = 100 * F.least("len_a", "len_b") >= round(100 * SIMILARITY) * F.greatest("len_a", "len_b")
+    held, open_rows = None, rows.withColumn("component", F.col("id"))
+    for turn in range(ROUNDS + 1):
+        if held is not None:
+            open_rows = _placed(rows, held.filter("linked").select("a", "b"))
+            mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+            open_rows = stored(small_join(open_rows, stored(mixed.select("key")), "key", "left_semi"))
+        left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "len", "component")]) for s in "ab")
+        if turn < ROUNDS:
+            order = F.xxhash64("id_a", F.lit(turn)) if turn else F.col("id_a")
+            left = left.groupBy("key").agg(F.min_by(F.struct("id_a", "len_a", "component_a"), order).alias("x")).select("key", "x.*")
+        met = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & allowed)
+        if turn == ROUNDS:
+            met = met.filter("id_a < id_b")
+        pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+        pairs = stored(pairs if held is None else pairs.join(held.select("a", "b"), ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            if turn < ROUNDS and turn:
+                continue
+            break
+        now = _verified(pairs, classes)
+        held = now if held is None else held.unionByName(now)
+    dropped(leaders, rows)
+    if held is None:
+        return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false")
+    return held.filter("linked").select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no of each line to drop from docs (doc_id, text)."""
-    lines = _lines(docs).withColumn("norm", letters(F.col("norm")))
-    grouped = (
-        with_simhash(lines.withColumn("letters_hash", F.xxhash64(F.lit(-1), "norm")))
-        .groupBy("h1", "h2")
-        .agg(
-            F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n"),
-            F.first("simhash").alias("simhash"), F.first("n_words").alias("n_words"), F.first("letters_hash").alias("letters_hash"),
-        )
+    grouped = _lines(docs).groupBy("h1", "h2").agg(
+        F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm")
     )
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
-    keys = _keys(classes)
-    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "simhash")).alias("leader"), F.count("*").alias("m")).filter("m > 1")
-    shared = stored(keys.join(leaders.select("key", "leader"), "key"))
-    near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("leader.simhash"))) <= RADIUS
-    first = stored(shared.filter(F.col("id") != F.col("leader.id")).filter(near).select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct())
-    left = shared.select("key", F.col("id").alias("a"), F.col("simhash").alias("sim_a"))
-    right = shared.select("key", F.col("id").alias("b"), F.col("simhash").alias("sim_b"))
-    alike = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= RADIUS
-
-    needed = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id")))
-    texts = _texts(docs, classes, needed)
-    held = stored(_verified(first, texts))
-    links = held.filter("linked").select("a", "b")
-    part = components(links)
-    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    left = left.join(of("a"), "a", "left").withColumn("of_a", F.coalesce("of_a", "a"))
-    right = right.join(of("b"), "b", "left").withColumn("of_b", F.coalesce("of_b", "b"))
-    on = (left.key == right.key) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & alike
-    rest = stored(left.join(right, on).select("a", "b").distinct().join(held.select("a", "b"), ["a", "b"], "left_anti"))
-    needed = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id")))
-    more = stored(_verified(rest, _texts(docs, classes, needed))).filter("linked").select("a", "b")
-    part = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
-
-    grouped = classes.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    kept = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
-    repeated = stored(grouped.join(kept, "component").select("h1", "h2", "keep"))
+    part = components(near_lines(classes)).select(F.col("node").alias("id"), "component")
+    narrow = classes.select("id", "h1", "h2", "first", "n")
+    placed = small_join(narrow, part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    kept = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
+    repeated = stored(placed.join(kept, "component").select("h1", "h2", "keep"))
+    dropped(classes)
     rows = small_join(_lines(docs).drop("norm"), repeated, ["h1", "h2"])
     return rows.filter(~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("keep"))).select("doc_id", "text_hash", "line_no")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """id, norm of the classes that are needed, from any of their occurrences."""
-    wanted = stored(classes.join(needed.distinct(), "id", "left_semi").select("id", "h1", "h2"))
-    return stored(small_join(_lines(docs), wanted, ["h1", "h2"]).groupBy("id").agg(F.min("norm").alias("norm")))
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines taken out of text; n_lines and n_dropped (long) are added.
 
-    A null or empty text stays as it is, as do lines without letters. Lines of fewer than MIN_WORDS words are repeated
-    only by lines of the same letters, if digits and marks leave them near. Rows that repeat both doc_id and text count as one and are cut alike. Other
-    columns are carried as they are; columns of docs named n_lines or n_dropped are replaced.
+    A null or empty text stays as it is, as do lines without letters. Rows that repeat both doc_id and text count as one
+    and are cut alike; of equal lines in one text the first stays, and a null id comes before all others. Other columns
+    are carried as they are; columns of docs named n_lines or n_dropped are replaced. An empty table stays empty.
     """
     drop = duplicate_lines(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_drop"))
-    drop = drop.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_drop")
+    drop = stored(drop.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_drop"))
     rows = docs.drop("n_lines", "n_dropped")
     names = rows.columns
-    rows = rows.join(drop, rows.doc_id.eqNullSafe(drop._id) & (F.xxhash64("text") == drop._hash), "left")
+    rows = small_join(rows, drop, rows.doc_id.eqNullSafe(drop._id) & (F.xxhash64("text") == drop._hash), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -164,6 +207,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def line_deduplicated_documents(docs: DataFrame) -> DataFrame:
-    """The columns of docs; documents that lose lines and have none left but blank ones are left out."""
+    """The columns of docs; documents that lose lines and have none left but blank ones are left out.
+
+    Null and empty texts stay, as do repeated rows, alike; an empty table stays empty.
+    """
     left = (F.col("n_dropped") == 0) | F.col("text").rlike(WORD)
     return deduplicated(docs).filter(left).select(*docs.columns)
