@@ -47,6 +47,11 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
 
     Words are runs of other than the six ASCII white space characters; lower: A-Z count as a-z.
     """
+    return measured_words(texts, lower)[:2]
+
+
+def measured_words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, and each word's length in bytes."""
     coded = [t.encode("utf-8", "surrogatepass") for t in texts]
     coded = [c.lower() for c in coded] if lower else coded
     raw = np.frombuffer(b" " + b" ".join(coded) + b" ", np.uint8)
@@ -56,7 +61,7 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[raw] * _power(_STEP, len(raw)))))
     words = mix((sums[ends] - sums[starts]) * _power(_BACK, len(raw))[starts] + (ends - starts).astype(np.uint64))
     bounds = np.concatenate(([0], np.cumsum([len(c) + 1 for c in coded])))
-    return words, np.searchsorted(starts, bounds + 1)
+    return words, np.searchsorted(starts, bounds + 1), ends - starts
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Fuzzy line dedup, in DataFrame functions alone.
+"""Fuzzy line dedup.
 
 Lines are normalised: lower case, letters with their marks and digits only, single spaces. Equal ones are one class. A
 line's features are its words, a short word together with the one before it; letters of scripts without spaces are words.
@@ -8,79 +8,149 @@ features it touches, so by the pigeonhole principle near lines agree in others,
 blocks of three words, from every feature on, and of letter triples too. One SimHash of a whole line, cut into blocks,
 has no such blocks: a changed word in ten moves bits of nearly all of them.
 
-Lines that meet are verified by edit similarity. Of each connected group one occurrence stays, the first by doc_id and line.
+Signatures and edit distances are counted in numpy and Python, in Arrow batches: in DataFrame functions alone they took
+four times the CPU time that they may. Lines that meet are verified by edit similarity. Of each connected group one occurrence stays, the first by doc_id and line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, dropped, small_join, stored
 from .graph import components
+from .hashing import measured_words, mix, passes
 
 SIMILARITY = 0.8
-#: Features of a block, and cuts of the ring.
-BLOCK, CUTS = 4, 16
-#: Lines of at most WHOLE features have blocks of BLOCK - 1, from every feature on.
-WHOLE = 14
-#: Lines of at most so many characters have blocks of letter triples too.
+#: Words and letter triples of a block, and cuts of the ring.
+BLOCKS, CUTS = (4, 5), 16
+#: Lines of at most WHOLE features have blocks of LEAST, from every feature on.
+WHOLE, LEAST = 14, 3
+#: Features in a sketch, about, and the share of the bits of two sketches, beside BITS more, that may differ.
+SKETCHED, DIFFER, BITS = 24, 0.35, 4
+#: Lines of at most so many bytes have blocks of letter triples too.
 LETTERS_TO = 60
-#: A word of at most so many characters counts together with the one before it.
+#: A word of at most so many bytes counts together with the one before it.
 SHORT_WORD = 3
 #: Rounds in which the classes of a key are held against one of them, before all that aren't of one group meet.
 ROUNDS = 2
-#: Characters of a piece in the bound of an edit distance.
-PIECE = 256
-_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def word_features(norm: Column) -> Column:
-    """The sorted different hashes of the words of a normalised line."""
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(norm, _UNSPACED, " $1 "), " +", " "))
-    words = F.split(F.when(F.octet_length(norm) > F.char_length(norm), spaced).otherwise(norm), " ")
-    short = lambda w: F.char_length(w) <= SHORT_WORD
-    one = lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.when(short(w), F.get(words, i - 1))))
-    return F.sort_array(F.array_distinct(F.transform(F.array(words), one)[0]))
-
-
-def letter_features(norm: Column) -> Column:
-    """The sorted different hashes of the letter triples of a normalised line; of fewer letters, the one of all."""
-    at = F.sequence(F.lit(1), F.greatest(F.char_length(norm) - 2, F.lit(1)))
-    return F.sort_array(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.lit(3), F.substring(norm, i, F.lit(3))))))
+def _rings(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each of n lines (48 bits of each, in order), and where each line's begin, with the end."""
+    every = np.unique((of.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    begins = np.searchsorted(every, np.arange(n + 1, dtype=np.uint64) << np.uint64(48))
+    return every & np.uint64((1 << 48) - 1), begins
+
+
+def simhash(hashes: list[np.ndarray]) -> np.ndarray:
+    """Of three to five hashes, each bit as most have it; as the first has it, where two have it and two don't."""
+    most = lambda a, b, c: a & (b | c) | b & c
+    if len(hashes) == 3:
+        return most(*hashes)
+    a, b, c, d, e = hashes if len(hashes) == 5 else [hashes[0], *hashes]
+    odd = a ^ b ^ c
+    pairs, more = most(a, b, c), most(odd, d, e)
+    return pairs & more | (pairs | more) & (odd ^ d ^ e)
+
+
+def _sketches(ring: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line 64 bits, of which each feature sets one, and a level: of many features, only those that level zeros
+    begin, so that about SKETCHED are left."""
+    size = np.diff(begins)
+    level = np.maximum(0, np.log2(np.maximum(size, 1) / SKETCHED).astype(np.int64))
+    of = np.repeat(np.arange(len(size)), size)
+    h = mix(ring)
+    keep = (h >> (np.uint64(64) - level[of].astype(np.uint64)) == 0) | (level[of] == 0)
+    bits = np.where(keep, np.uint64(1) << (h & np.uint64(63)), np.uint64(0))
+    out = np.zeros(len(size), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        out[full] = np.bitwise_or.reduceat(bits, begins[:-1][full])
+    return out.view(np.int64), level.astype(np.int32)
+
+
+def _blocks(ring: np.ndarray, begins: np.ndarray, tag: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line and block, one line after another: the SimHash of ``block`` features of the ring in a row, from the first after
+    each cut on; if they are few, of LEAST from each one on. Of still fewer features, the hash of all."""
+    size = np.diff(begins)
+    of = np.repeat(np.arange(len(size)), size)
+    n, start = size[of], begins[:-1][of]
+    at, spread = np.arange(len(ring)) - start, mix(ring + np.uint64(tag << 48))
+    part = (ring >> np.uint64(48 - CUTS.bit_length() + 1)).astype(np.int64)
+    cut = (at == 0) | (part != np.roll(part, 1))
+    follow = lambda where, k: spread[start[where] + (at[where] + k) % n[where]]
+    out = np.zeros(len(ring), np.uint64)
+    for where, k in (((n > WHOLE) & cut, block), ((n <= WHOLE) & (n >= LEAST), LEAST)):
+        where = np.flatnonzero(where)
+        out[where] = simhash([follow(where, i) for i in range(k)])
+    few = np.flatnonzero((n < LEAST) & (at == 0))
+    out[few] = mix(spread[few] + np.uint64(1)) + np.where(n[few] > 1, follow(few, 1), np.uint64(0))
+    some = (n > WHOLE) & cut | (n <= WHOLE) & (n >= LEAST) | (n < LEAST) & (at == 0)
+    return of[some], out[some]
+
+
+def _words(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and line of each word; a short one's together with the word before it."""
+    spaced = [t if t.isascii() else _UNSPACED.sub(r" \g<0> ", t) for t in norms]
+    words, begins, length = measured_words(spaced, lower=False)
+    of = np.repeat(np.arange(len(norms)), np.diff(begins))
+    joined = length <= SHORT_WORD
+    joined[begins[:-1][begins[:-1] < len(words)]] = False
+    words[joined] = mix(words[joined] + mix(np.roll(words, 1)[joined]))
+    return words, of
+
+
+def _triples(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and line of each three bytes in a row of the lines of at most LETTERS_TO bytes, with a space at both ends."""
+    coded = [c if len(c) <= LETTERS_TO + 2 else b"" for c in (f" {t} ".encode("utf-8", "surrogatepass") for t in norms)]
+    size = np.array([len(c) for c in coded], np.int64)
+    raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
+    if len(raw) < 3:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(norms)), size)
+    inside = of[2:] == of[:-2]
+    return mix((raw[:-2] << np.uint64(16) | raw[1:-1] << np.uint64(8) | raw[2:]) + np.uint64(1 << 40))[inside], of[:-2][inside]
+
+
+def line_keys(norms: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different blocks of each normalised line, as signed 64-bit numbers, and the lines' sketches and levels."""
+    n = len(norms)
+    rings = [_rings(*features(norms), n) for features in (_words, _triples)]
+    found = [_blocks(*ring, tag, block) for tag, (ring, block) in enumerate(zip(rings, BLOCKS, strict=True))]
+    of, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((keys, of))
+    of, keys = of[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
+    return np.split(keys[new].view(np.int64), np.searchsorted(of[new], np.arange(1, n))), *_sketches(*rings[0])
 
 
-def simhash(hashes: list[Column]) -> Column:
-    """Of three or four hashes, each bit as most have it; as the first has it, where two have it and two don't."""
-    a, b, c, *rest = hashes
-    if not rest:
-        return a.bitwiseAND(b.bitwiseOR(c)).bitwiseOR(b.bitwiseAND(c))
-    d = rest[0]
-    return a.bitwiseAND(b.bitwiseOR(c).bitwiseOR(d)).bitwiseOR(b.bitwiseAND(c).bitwiseAND(d))
-
+def with_keys(classes: DataFrame) -> DataFrame:
+    """id, len, sketch, level, keys (array of longs) for each class (id, norm): its length in characters and its blocks."""
 
-def _blocks(ring: Column, tag: int) -> Column:
-    """The SimHash of BLOCK features of the ring in a row, from the first after each cut on; if they are few, of one less
-    from each one on. Of still fewer features, the hash of all."""
-    n = F.size(ring)
-    block = lambda size: lambda i: simhash([F.get(ring, (i + k) % n) for k in range(size)]).bitwiseXOR(F.lit(tag))
-    part = lambda i: F.shiftright(F.get(ring, i), 64 - CUTS.bit_length() + 1)
-    at = F.sequence(F.lit(0), n - 1)
-    cut = F.filter(at, lambda i: (i == 0) | (part(i) != part(i - 1)))
-    few = F.when(n >= BLOCK - 1, F.transform(at, block(BLOCK - 1))).otherwise(F.array(F.xxhash64(ring, F.lit(tag))))
-    return F.when(n > WHOLE, F.transform(cut, block(BLOCK))).otherwise(few)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norms = batch.column(1).to_pylist()
+            for at, to in passes(norms):
+                keys, sketch, level = line_keys(norms[at:to])
+                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                column = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
+                lengths = pa.array([len(t) for t in norms[at:to]], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], lengths, pa.array(sketch), pa.array(level), column], names=names)
 
-
-def with_keys(classes: DataFrame) -> DataFrame:
-    """key, id, len: for each class (id, norm) its blocks, and its length in characters."""
-    rows = classes.select("id", "norm", F.char_length("norm").alias("len"), word_features(F.col("norm")).alias("ring"))
-    triples = F.transform(F.array(letter_features(F.col("norm"))), lambda ring: _blocks(ring, 1))[0]
-    keys = F.concat(_blocks(F.col("ring"), 0), F.when(F.col("len") <= LETTERS_TO, triples).otherwise(F.array().cast("array<long>")))
-    return rows.select("id", "len", F.explode(F.array_distinct(keys)).alias("key"))
+    names = ["id", "len", "sketch", "level", "keys"]
+    return classes.select("id", "norm").mapInArrow(run, "id long, len int, sketch long, level int, keys array<long>")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -92,41 +162,67 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
 
 
-def _same(x: Column, y: Column) -> Column:
-    """How many characters two texts begin with alike, by halved steps; of longer ones than 2^21, so many at least."""
-    step = lambda n, s: F.when(F.substring(x, n + 1, s) == F.substring(y, n + 1, s), n + s).otherwise(n)
-    return F.least(F.aggregate(F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), F.lit(0), step), F.char_length(x), F.char_length(y))
-
-
-def _unlike(pairs: DataFrame) -> DataFrame:
-    """pairs (.., x, y) without the characters that x and y begin and end with alike; their edit distance is the same."""
-    names = [c for c in pairs.columns if c not in ("x", "y")]
-    for _ in range(2):
-        rest = [F.reverse(F.expr(f"substring({c}, same + 1)")).alias(c) for c in "xy"]
-        pairs = pairs.withColumn("same", _same(F.col("x"), F.col("y"))).select(*names, *rest)
-    return pairs
+def _same(x: str, y: str) -> int:
+    """How many characters two texts begin with alike."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+    return low
+
+
+def within(x: str, y: str, most: int) -> bool:
+    """Whether the edit distance of x and y is at most ``most``: a column of the distance table is two long numbers whose
+    bits say where it rises and falls by one."""
+    k = _same(x, y)
+    x, y = x[k:], y[k:]
+    k = _same(x[::-1], y[::-1])
+    x, y = sorted((x[: len(x) - k], y[: len(y) - k]), key=len)
+    if len(y) - len(x) > most:
+        return False
+    if len(y) <= most or not x:
+        return len(y) <= most
+    where: dict[str, int] = {}
+    for i, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(x)) - 1, 1 << len(x) - 1
+    up, down, score = full, 0, len(x)
+    for left, c in zip(range(len(y) - 1, -1, -1), y, strict=True):
+        eq = where.get(c, 0)
+        low = eq | down
+        eq = ((eq & up) + up ^ up) | eq
+        rise, fall = down | full & ~(eq | up), up & eq
+        if rise & top:
+            score += 1
+            if score - left > most:
+                return False
+        elif fall & top:
+            score -= 1
+        rise, fall = rise << 1 & full | 1, fall << 1 & full
+        up, down = fall | full & ~(low | rise), rise & low
+    return score <= most
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, linked: linked if the edit distance is at most (1 - SIMILARITY) of the longer line's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            linked = [within(x, y, int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)) for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
+
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = stored(small_join(classes.select("id", "norm"), needed, "id", "left_semi"))
     of = lambda c, name: texts.select(F.col("id").alias(c), F.col("norm").alias(name))
-    joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
-    longer = F.greatest(F.char_length("x"), F.char_length("y"))
-    cut = _unlike(joined.withColumn("most", F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")))
-    distance = F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("most"))  # -1 if it is more than that
-    # the distances piece by piece add up to no less than the distance, in time that grows with the length alone
-    piece = lambda c, i: F.substring(F.col(c), i * PIECE + 1, F.lit(PIECE))
-    pieces = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("x"), F.char_length("y")) / PIECE).cast("int"))
-    bound = F.aggregate(pieces, F.lit(0), lambda n, i: n + F.levenshtein(piece("x", i), piece("y", i)))
-    held = stored(cut.select("a", "b", F.when(bound <= F.col("most"), True).otherwise(distance >= 0).alias("linked")))
+    joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    held = stored(joined.mapInArrow(run, "a long, b long, linked boolean"))
     dropped(needed, texts)
     return held
 
 
 def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (key, id, len) with the component that links make of their id."""
+    """rows (key, id, ..) with the component that links make of their id."""
     part = components(links).select(F.col("node").alias("id"), "component")
     return small_join(rows, part, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -137,20 +233,25 @@ def near_lines(classes: DataFrame) -> DataFrame:
     In each key the classes are held against its least one, then, where they aren't of one group yet, against another one,
     and at last all against all of other groups, so no pair that shares a key is left out.
     """
-    keys = with_keys(classes)
+    signed = stored(with_keys(classes))
+    keys = signed.select("id", "len", "sketch", "level", F.explode("keys").alias("key"))
     leaders = stored(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key"))
     rows = stored(small_join(keys, leaders, "key", "left_semi"))
+    dropped(signed, leaders)
     allowed = 100 * F.least("len_a", "len_b") >= round(100 * SIMILARITY) * F.greatest("len_a", "len_b")
+    most = DIFFER * (F.bit_count("sketch_a") + F.bit_count("sketch_b")) + BITS
+    allowed &= (F.col("level_a") != F.col("level_b")) | (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= most)
+    about = ("id", "len", "sketch", "level", "component")
     held, open_rows = None, rows.withColumn("component", F.col("id"))
     for turn in range(ROUNDS + 1):
         if held is not None:
             open_rows = _placed(rows, held.filter("linked").select("a", "b"))
             mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
             open_rows = stored(small_join(open_rows, stored(mixed.select("key")), "key", "left_semi"))
-        left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "len", "component")]) for s in "ab")
+        left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in about]) for s in "ab")
         if turn < ROUNDS:
             order = F.xxhash64("id_a", F.lit(turn)) if turn else F.col("id_a")
-            left = left.groupBy("key").agg(F.min_by(F.struct("id_a", "len_a", "component_a"), order).alias("x")).select("key", "x.*")
+            left = left.groupBy("key").agg(F.min_by(F.struct(*[f"{c}_a" for c in about]), order).alias("x")).select("key", "x.*")
         met = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & allowed)
         if turn == ROUNDS:
             met = met.filter("id_a < id_b")
@@ -162,7 +263,7 @@ def near_lines(classes: DataFrame) -> DataFrame:
             break
         now = _verified(pairs, classes)
         held = now if held is None else held.unionByName(now)
-    dropped(leaders, rows)
+    dropped(rows)
     if held is None:
         return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false")
     return held.filter("linked").select("a", "b")
