@@ -1,7 +1,7 @@
 """WARC derivatives: from response records, linked metadata and plain-text conversion records.
 
-Both derived records name their response in WARC-Refers-To and keep its target URI, date and payload digest; the
-metadata record also keeps the response's HTTP headers, title, language and links as warc-fields lines.
+Both derived records name their response in WARC-Refers-To and keep its target URI, date and payload digest (in the
+extension field WARC-Refers-To-Payload-Digest); the metadata record also keeps the response's HTTP headers, title, language and links as warc-fields lines.
 """
 
 from __future__ import annotations
@@ -23,16 +23,15 @@ COLUMNS = (
     "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
     "block_digest string, refers_to_payload_digest string, content_length long, content string, record binary"
 )
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BLOCK = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html"
-    r"|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>",
-    re.I,
+#: What these hold is not seen; what these begin or end stands on lines of its own.
+_UNSEEN = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template")}
+_BLOCKS = frozenset(
+    "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main "
+    "nav ol option p pre section select table tbody td tfoot th thead title tr ul".split()
 )
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*")
+_LANG = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
 
@@ -40,11 +39,73 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def _events(markup: str) -> Iterator[tuple[str, str]]:
+    """("", text), and (name, attributes) of each tag that is seen, in one pass; /name where an element ends.
+
+    A comment, script or the like that doesn't end hides the rest; a tag that doesn't end is text.
+    """
+    at = 0
+    while (begin := markup.find("<", at)) >= 0:
+        if begin > at:
+            yield "", markup[at:begin]
+        if markup.startswith("<!--", begin):
+            end = markup.find("-->", begin + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        first = begin + 1 + markup.startswith("/", begin + 1)
+        name = _NAME.match(markup, first)
+        if not name and markup[first : first + 1] not in ("!", "?") or first >= len(markup):
+            yield "", markup[begin:first]
+            at = first
+            continue
+        end = markup.find(">", first)
+        if end < 0:
+            yield "", markup[begin:]
+            return
+        at = end + 1
+        if name:
+            kind = name[0].lower()
+            if first == begin + 1 and kind in _UNSEEN:
+                closing = _UNSEEN[kind].search(markup, at)
+                if not closing:
+                    return
+                at = closing.end()
+                yield "", " "
+            else:
+                yield "/" * (first - begin - 1) + kind, markup[name.end() : end]
+    if at < len(markup):
+        yield "", markup[at:]
+
+
+def page_parts(markup: str) -> tuple[str, str | None, str | None, list[str]]:
+    """The text (one line for each block with words, its white space made single spaces), title, language and links."""
+    out, links, titles, title, lang = [], [], [], None, None
+    in_title = False
+    for name, rest in _events(markup):
+        if not name:
+            out.append(re.sub(r"\s+", " ", rest))
+            if in_title:
+                titles.append(rest)
+            continue
+        if name.lstrip("/") in _BLOCKS:
+            out.append("\n")
+        if name == "title" and title is None and not in_title:
+            in_title, titles = True, []
+        elif name == "/title" and in_title:
+            in_title, title = False, _one_line("".join(titles))
+        elif name == "html" and lang is None and (m := _LANG.search(rest)):
+            lang = m[1]
+        elif name == "a" and (m := _HREF.search(rest)):
+            links.append(_one_line(m[1] or m[2] or m[3] or ""))
+    lines = (_one_line(line) for line in "".join(out).split("\n"))
+    return "\n".join(line for line in lines if line), title, lang, links
+
+
 def page_text(markup: str) -> str:
-    """What a reader sees: one line for each block with words, its white space made single spaces."""
-    text = _TAG.sub("", _BLOCK.sub("\n", re.sub(r"\s+", " ", _HIDDEN.sub(" ", markup))))
-    lines = (" ".join(html.unescape(line).split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    """What a reader sees."""
+    return page_parts(markup)[0]
 
 
 def _decoded(payload: bytes, headers: str) -> tuple[str, str]:
@@ -62,6 +123,7 @@ def _record(row: dict, block: bytes) -> bytes:
         ("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["date"]),
         ("WARC-Refers-To", row["refers_to"]), ("WARC-Refers-To-Target-URI", row["target_uri"]),
         ("WARC-Refers-To-Date", row["date"]), ("WARC-Target-URI", row["target_uri"]),
+        ("WARC-Refers-To-Payload-Digest", row["refers_to_payload_digest"]),
         ("WARC-Block-Digest", row["block_digest"]), ("Content-Type", row["content_type"]), ("Content-Length", len(block)),
     )
     head = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', str(v))}\r\n" for k, v in named if v is not None)
@@ -69,10 +131,10 @@ def _record(row: dict, block: bytes) -> bytes:
 
 
 def _one_line(text: str) -> str:
-    return " ".join(html.unescape(_TAG.sub("", text)).split())
+    return " ".join(html.unescape(text).split())
 
 
-def derive(response: dict) -> Iterator[dict]:
+def derive(response: dict, with_record: bool = True) -> Iterator[dict]:
     """The metadata and the conversion record of one response."""
     payload, headers = bytes(response["payload"] or b""), response["http_headers"] or ""
     markup, charset = _decoded(payload, headers)
@@ -81,17 +143,16 @@ def derive(response: dict) -> Iterator[dict]:
     status, *lines = headers.splitlines() or [""]
     fields += [("http-status", status)] if status else []
     fields += [(f"http-header-{k.strip().lower()}", v.strip()) for k, _, v in (x.partition(":") for x in lines if ":" in x)]
-    visible = _HIDDEN.sub(" ", markup)
-    fields += [(k, _one_line(m[1])) for k, m in (("title", _TITLE.search(visible)), ("lang", _LANG.search(visible))) if m]
-    for m in _LINK.finditer(visible):
-        href = _one_line(m[1] or m[2] or m[3] or "")
+    text, title, lang, links = page_parts(markup)
+    fields += [(k, v) for k, v in (("title", title), ("lang", lang)) if v is not None]
+    for href in links:
         try:
             fields.append(("outlink", urljoin(uri or "", href)))
         except ValueError:
             fields.append(("outlink", href))
     contents = (
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)),
-        ("conversion", "text/plain; charset=utf-8", page_text(markup)),
+        ("conversion", "text/plain; charset=utf-8", text),
     )
     for kind, content_type, content in contents:
         block = content.encode("utf-8", "replace")
@@ -101,7 +162,7 @@ def derive(response: dict) -> Iterator[dict]:
             "block_digest": digest(block), "refers_to_payload_digest": source, "content_length": len(block),
             "content": block.decode(),
         }
-        yield row | {"record": _record(row, block)}
+        yield row | {"record": _record(row, block)} if with_record else row
 
 
 def responses_of(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -141,7 +202,7 @@ def derivatives(responses: DataFrame, key: str = "page_id", with_record: bool =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256).to_pylist()
-                out = [{key: r[key]} | d for r in rows for d in derive(r)]
+                out = [{key: r[key]} | d for r in rows for d in derive(r, with_record)]
                 types = {"binary": pa.binary(), "long": pa.int64()}
                 fields = {c: types.get(t, pa.string()) for c, t in (x.split() for x in columns.split(", "))}
                 key_type = batch.schema.field(key).type
