@@ -3,7 +3,7 @@
 Every text gets a few counts; transformed, they make a vector. For each language and source the minimum covariance
 determinant estimate is the mean and covariance of the three quarters of the vectors that lie closest together. It is
 found by concentration steps from two starts (the middle of each coordinate, and the plain mean): take the closest
-share, estimate again, repeat; of the two the one with the smaller determinant holds. A text whose squared
+share, estimate again, repeat until no determinant moves; of the two the one with the smaller determinant holds. A text whose squared
 Mahalanobis distance to its group is above a chi-square quantile is rejected. Texts of a group too small for an estimate
 are held against that of their language, and those of a language too small against that of all texts.
 """
@@ -16,13 +16,14 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, words_of
+from .common import WORD, small_join, stored, words_of
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 20
-#: Share of a group that the estimate is made from, and concentration steps from each start.
-SHARE, STEPS = 0.75, 4
+#: Share of a group that the estimate is made from, the change of a determinant's logarithm that counts as none, and
+#: steps after which one that goes round in circles, as bins of distances allow, is left where it is.
+SHARE, STILL, STEPS = 0.75, 1e-3, 12
 #: Least standard deviation of each coordinate: closer groups, as of copies, don't make rules of their own.
 FLOORS = (0.12, 0.04, 0.12, 0.2)
 #: A group of fewer texts that pass the base rules has no estimate of its own; the next wider one judges its texts.
@@ -32,6 +33,7 @@ ANY = "*"
 #: A clean text is rejected about this seldom if its vector is normally distributed.
 TAIL = 1e-6
 DIMS = len(FLOORS)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 XS = [f"x{i}" for i in range(DIMS)]
 PAIRS = list(combinations_with_replacement(range(DIMS), 2))
 
@@ -56,7 +58,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    others = [c for c in docs.columns if c not in ("text", "words", "grams", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    others = [c for c in docs.columns if c not in ("text", "words", "grams", *COUNTS)]
     counted = docs.select(
         *others,
         words_of(F.col("text")).alias("words"),
@@ -185,7 +187,10 @@ def robust_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     both = rows.withColumn("start", F.explode(F.array(F.lit("middle"), F.lit("mean"))))
     for _ in range(STEPS):
         measured = both.join(found, group).select(*group, *XS, _distance().alias("d2"))
-        found = stored(_estimate(_closest(measured, group, SHARE), group))
+        before, found = found, stored(_estimate(_closest(measured, group, SHARE), group))
+        moved = found.join(before.select(*group, F.col("log_det").alias("was")), group).filter(F.abs(F.col("log_det") - F.col("was")) > STILL)
+        if moved.isEmpty():
+            break
     best = Window.partitionBy(*keys).orderBy("log_det", "start")
     return found.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best", "start")
 
@@ -212,13 +217,13 @@ def quality_verdicts(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source
     the estimate of the language (the keys without the last) holds, and if that has fewer, that of all texts. Equal rows
     get equal verdicts.
     """
-    clash = {"kept", "base_failed", "distance2", *XS}
-    stats = text_statistics(docs.drop(*clash))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     keys = [f"_g{i}" for i in range(len(groups))]
-    # a null key becomes a value that no other key has
-    named = {k: F.coalesce(F.concat(F.lit("="), F.col(g)), F.lit("null")) for k, g in zip(keys, groups, strict=True)}
-    stats = stored(_vector(stats.withColumn("base_failed", failed)).withColumns(named))
+    # a null key becomes a value that no other key has; what else a row has stays out of the way of the names used here
+    named = [F.coalesce(F.concat(F.lit("="), F.col(g)), F.lit("null")).alias(k) for k, g in zip(keys, groups, strict=True)]
+    carried = [c for c in docs.columns if c not in ("text", "base_failed", "distance2", "kept", *COUNTS)]
+    stats = text_statistics(docs.select("text", F.struct(*carried).alias("_row"), *named))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    stats = stored(_vector(stats.withColumn("base_failed", failed)))
     judging = stored(_judging(stats, keys))
     wider = [F.struct(*[(F.col(k) if i < len(keys) - n else F.lit(ANY)).alias(k) for i, k in enumerate(keys)]) for n in range(len(keys) + 1)]
     rows = stats.filter(~F.col("base_failed")).select(F.explode(F.array(*wider)).alias("g"), *XS).select("g.*", *XS)
@@ -228,14 +233,13 @@ def quality_verdicts(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source
     spread = SHARE / (1 - _upper_tail(chi_square(1 - SHARE), DIMS + 2))
     judged = stats.join(judging, keys).join(found, [f"_j{k}" for k in keys], "left").withColumn("distance2", _distance() / spread)
     inlier = F.coalesce(F.col("distance2") <= chi_square(TAIL), F.lit(True))
-    others = [c for c in stats.columns if c not in (*keys, *XS)]
-    return judged.select(*others, "distance2", (~F.col("base_failed") & inlier).alias("kept"))
+    return judged.select(*[F.col("_row")[c].alias(c) for c in carried], *COUNTS, "base_failed", "distance2", (~F.col("base_failed") & inlier).alias("kept"))
 
 
 def quality_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
+    """The rows of docs that are kept, with the columns of docs. Null and empty texts go; equal rows share their verdict."""
     judged = quality_verdicts(docs.select("doc_id", "text", "lang", "source", F.xxhash64("doc_id", "text").alias("_h")))
     rejected = judged.filter(~F.col("kept")).select("_h", "lang", "source").distinct()
-    rows = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
-    same = (rows._h == rejected._h) & rows.lang.eqNullSafe(rejected.lang) & rows.source.eqNullSafe(rejected.source)
-    return rows.join(rejected, same, "left_anti").select(*docs.columns)
+    rejected = stored(rejected.select("_h", F.col("lang").alias("_lang"), F.col("source").alias("_source")))
+    same = (F.xxhash64("doc_id", "text") == F.col("_h")) & docs.lang.eqNullSafe(rejected._lang) & docs.source.eqNullSafe(rejected._source)
+    return small_join(docs, rejected, same, "left_anti").select(*docs.columns)
