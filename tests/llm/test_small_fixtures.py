@@ -52,10 +52,10 @@ def test_topk(spark):
     v = rng.normal(0, 0.3, (400, 12))
     v[60:90] = v[0]  # ties
     rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
-    rows += [(1000, None), (1001, [None] * 12), (1002, [float("nan")] * 12), (1050, [float("inf")] + [0.0] * 11), (1100, [1.0, 2.0]), (350, rows[350][1])]
+    rows += [(1000, None), (1001, [None] * 12), (1002, [float("nan")] * 12), (1050, [float("inf")] + [0.0] * 11), (1100, [1.0, 2.0])]
     df = spark.createDataFrame([(i, x, 7) for i, x in rows], "vec_id long, embedding array<double>, score int")
     got = {}
-    for r in topk.top_k(df, block=64, queries=3).collect():
+    for r in topk.top_k(df, block_bytes=64 * 96, query_bytes=3 * 96).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     ints, ids = np.floor(v * 256).astype(np.int64), np.arange(400)
     assert set(got) == set(range(0, 400, 50))
@@ -65,6 +65,23 @@ def test_topk(spark):
     assert topk.top_k(df.filter("false")).count() == 0
 
 
+def test_topk_of_large_components_and_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(0, 1, (120, 4)) * 10.0 ** rng.integers(0, 7, (120, 1))
+    ids = [i // 2 for i in range(120)]  # each id twice
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    ints = [[int(x) for x in row] for row in np.floor(v * 256)]
+    want = []
+    for a in range(120):
+        if ids[a] % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(ints[a], ints[b], strict=True)), ids[b]) for b in range(120) if b != a)
+            want += [(ids[a], n, i, -s) for n, (s, i) in enumerate(scored[:5], 1)]
+    assert sorted(map(tuple, topk.top_k(df, block_bytes=1000).collect())) == sorted(want) and len(want) == 20
+    huge = spark.createDataFrame([(i, [1e16, 1.0]) for i in range(3)], df.schema)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(huge).collect()
+
+
 def test_packing(spark, odd, nothing):
     from tokenizers import Tokenizer
 
@@ -98,9 +115,28 @@ def test_warc(spark):
     assert "title: A & B" in meta.content and "outlink: http://e.org/x" in meta.content and "http-header-content-type: text/html" in meta.content
     assert meta.refers_to == rows[1, "conversion"].refers_to != meta.record_id
     assert meta.block_digest == warc.digest(meta.content.encode()) and bytes(meta.record).endswith(meta.content.encode() + b"\r\n\r\n")
+    for kind in ("metadata", "conversion"):  # each record read back by its own bytes
+        row = rows[1, kind]
+        head, block = bytes(row.record).split(b"\r\n\r\n", 1)
+        version, *fields = head.decode().split("\r\n")
+        named = dict(f.split(": ", 1) for f in fields)
+        assert version == "WARC/1.1" and named["WARC-Type"] == kind and block == row.content.encode() + b"\r\n\r\n"
+        assert int(named["Content-Length"]) == len(block) - 4 and named["WARC-Block-Digest"] == warc.digest(block[:-4])
+        assert named["WARC-Refers-To"] == row.refers_to and named["WARC-Refers-To-Payload-Digest"] == warc.digest(page.encode())
+        assert named["WARC-Target-URI"] == "http://e.org/a" and "WARC-Target-URI" not in bytes(rows[2, kind].record).decode()
     assert warc.derivatives(warc.responses_of(df.filter("false"))).count() == 0
 
 
+def test_long_and_malformed_pages_take_one_pass():
+    import time
+
+    for page in ("<!--" * 250_000, "<a" * 500_000, "<a href=" * 120_000, "<script>" * 125_000, "</script  " * 100_000, "< " * 500_000, "<title>" * 140_000, "&amp" * 250_000, "x > y < z <" * 90_000):
+        began = time.perf_counter()
+        list(warc.derive({"payload": page.encode(), "http_headers": None, "target_uri": None, "record_id": "r", "date": None}))
+        assert time.perf_counter() - began < 5, page[:10]
+    assert warc.page_text("a <b>b</b> < c<br>d<script>x</SCRIPT >e <!-- f --> g<p h>1 &lt; 2<style>i") == "a b < c\nd e g\n1 < 2"
+
+
 def brute_groups(rows, size, percent):
     sets = []
     for _, text in rows:
@@ -263,6 +299,9 @@ def test_outliers(spark, nothing):
     assert all(got[i].kept for i in range(80)) and not got[900].kept and not got[900].base_failed
     assert got[901].base_failed and got[902].base_failed and got[903].base_failed and got[904].kept
     assert (got[903].n_words, got[903].n_repeat_words) == (72, 72) and got[901].n_words == 0
+    clashing = docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("m0", "l00", "log_det", "x0", "_j_g0", "d2", "bin")})
+    assert {r.doc_id: (r.kept, r.m0) for r in outliers.quality_verdicts(clashing).collect()} == {i: (r.kept, 1) for i, r in got.items()}
+    assert outliers.quality_documents(clashing).columns == clashing.columns
     assert outliers.quality_verdicts(nothing).count() == 0
     assert abs(outliers.chi_square(0.05) - 9.4877) < 1e-3
 
