@@ -111,13 +111,26 @@ def array_string_concat(arr: Column, separator: str = "") -> Column:
     return F.array_join(F.transform(arr, lambda e: e.cast("string")), separator, "")
 
 
+#: Number formats that {i:X} and {i:Xn} may name, as Java's with n in place, and the type they are for.
+NUMBER_FORMATS = {"D": ("0{n}d", "bigint"), "F": (".{n}f", "double"), "N": (",.{n}f", "double"), "X": ("0{n}X", "bigint")}
+
+
 def format_(pattern: str, *xs: Column) -> Column:
-    """{0}, {1}, ... in the literal pattern stand for the arguments; other use of braces gives the pattern itself."""
+    """{0}, {1}, ... in the literal pattern stand for the arguments, {0:F2} and the like for numbers in a format of
+    NUMBER_FORMATS; other use of braces gives the pattern itself."""
     holes = re.findall(r"\{([^{}]*)\}", pattern)
-    if any(not h.isdigit() or int(h) >= len(xs) for h in holes) or re.search(r"[{}]", re.sub(r"\{\d+\}", "", pattern)):
+    parsed = [re.fullmatch(r"(\d+)(?::([DFNX])(\d*))?", h) for h in holes]
+    if not all(m and int(m[1]) < len(xs) for m in parsed) or re.search(r"[{}]", re.sub(r"\{[^{}]*\}", "", pattern)) or not xs:
         return F.lit(pattern)
-    java = re.sub(r"\{(\d+)\}", lambda m: f"%{int(m[1]) + 1}$s", pattern.replace("%", "%%"))
-    return F.format_string(java, *[F.coalesce(x.cast("string"), F.lit("")) for x in xs]) if xs else F.lit(pattern)
+    java, args = pattern.replace("%", "%%"), []
+    for k, m in enumerate(parsed, 1):
+        x, sign, kind = xs[int(m[1])], "s", None
+        if m[2]:
+            form, kind = NUMBER_FORMATS[m[2]]
+            sign = form.format(n=m[3] or ("2" if m[2] in "FN" else "1")).replace("01d", "d").replace("01X", "X")
+        java = java.replace("{" + m[0] + "}", f"%{k}${sign}", 1)
+        args.append(x.cast(kind) if kind else F.coalesce(x.cast("string"), F.lit("")))
+    return F.format_string(java, *args)
 
 
 def empty(x: Column) -> Column:
@@ -288,7 +301,7 @@ def map_(*xs: Column) -> Column:
 
 
 def row_number_in_all_blocks() -> Column:
-    """Distinct numbers from 1 on, rising within a partition, without a shuffle."""
+    """Distinct numbers from 1 on, rising within a partition, without a shuffle; operators.windows.numbered leaves no gaps."""
     return F.monotonically_increasing_id() + 1
 
 
@@ -307,6 +320,21 @@ _TYPE_NAMES = {
 }
 
 
+def to_type_name(x: Column | T.DataType) -> Column:
+    """The dialect's name of a value's or a data type."""
+    if isinstance(x, T.DataType):
+        return F.lit(type_name(x))
+    name = F.typeof(x)
+    for kind, own in _TYPE_NAMES.items():
+        if not issubclass(kind, T.NullType):
+            name = F.regexp_replace(name, rf"\b{kind().simpleString()}\b", own)
+    name = F.regexp_replace(F.regexp_replace(name, "decimal\\((\\d+),(\\d+)\\)", "Decimal($1, $2)"), ",(?! )", ", ")
+    for spark, own in (("array<", "Array("), ("map<", "Map("), ("struct<", "Tuple("), (">", ")")):
+        name = F.replace(name, F.lit(spark), F.lit(own))
+    name = F.regexp_replace(name, r"\w+:", "")
+    return F.when(F.typeof(x) == "void", type_name(T.NullType())).otherwise(name)
+
+
 def type_name(kind: T.DataType) -> str:
     if isinstance(kind, T.DecimalType):
         return f"Decimal({kind.precision}, {kind.scale})"
@@ -356,10 +384,10 @@ SCALARS: dict[str, Callable[..., Column]] = {
     "emptyArrayToSingle": empty_array_to_single, "range": range_, "tuple": tuple_, "tupleElement": tuple_element,
     "map": map_, "mapKeys": F.map_keys, "mapValues": F.map_values, "rowNumberInAllBlocks": row_number_in_all_blocks,
     "rand": rand, "rand64": rand64, "generateUUIDv4": F.uuid, "version": lambda: F.lit(VERSION),
-    "toTypeName": lambda kind: F.lit(type_name(kind)),
+    "toTypeName": to_type_name,
 }
 
-#: Other names of the same functions.
+#: Other names of the same functions.
 ALIASES = {
     "ceiling": "ceil", "ln": "log", "substr": "substring", "mid": "substring", "locate": "position", "lcase": "lower",
     "ucase": "upper", "size": "length", "char_length": "length", "character_length": "length", "year": "toYear",

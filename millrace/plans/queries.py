@@ -136,7 +136,7 @@ def _rich(spark, d):
 
 def _outer(how: str) -> Query:
     def run(spark, d):
-        few = t(spark, d, "customer").filter("c_custkey % 3 = 0")
+        few = t(spark, d, "customer").filter("c_acctbal > 0")
         return few.join(_rich(spark, d), c("c_custkey") == c("o_custkey"), how).select("c_custkey", "c_name", "o_orderkey")
 
     return run
@@ -144,7 +144,7 @@ def _outer(how: str) -> Query:
 
 for _how in ("left", "right", "full"):
     QUERIES[f"join_{_how}"] = _outer(_how)
-    ORACLE[f"join_{_how}"] = f"""SELECT c_custkey, c_name, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0)
+    ORACLE[f"join_{_how}"] = f"""SELECT c_custkey, c_name, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0)
       {_how.upper()} JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey"""
 for _how, _not in (("semi", ""), ("anti", "NOT ")):
     QUERIES[f"join_{_how}"] = lambda spark, d, how=_how: t(spark, d, "customer").join(
@@ -215,9 +215,9 @@ def join_any(spark, d):
     return joins.any_join(left, right, ["k"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
-@query("SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings WHERE vec_id < 100")
+@query("SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings")
 def join_array(spark, d):
-    rows = t(spark, d, "embeddings").filter("vec_id < 100").select("vec_id", S["arraySlice"](c("embedding"), lit(1), lit(3)).alias("e"))
+    rows = t(spark, d, "embeddings").select("vec_id", S["arraySlice"](c("embedding"), lit(1), lit(3)).alias("e"))
     return joins.array_join_rows(rows, "e", "x").drop("e")
 
 
@@ -485,22 +485,118 @@ def sql_functions(spark, d):
     )
 
 
+@query("""SELECT p_partkey, CAST(p_size AS SMALLINT) AS i16, CAST(p_size AS INTEGER) AS u16, p_partkey AS u32, CAST(p_partkey AS DECIMAL(20, 0)) AS u64,
+  CAST(p_retailprice AS DECIMAL(12, 2)) AS de, coalesce(nullif(p_size, 7), -p_size) AS co, p_name <> '' AS ne FROM part""")
+def fn_conversion_wide(spark, d):
+    x = c("p_size")
+    return t(spark, d, "part").select(
+        "p_partkey", S["toInt16"](x).alias("i16"), S["toUInt16"](x).alias("u16"), S["toUInt32"](c("p_partkey")).alias("u32"),
+        S["toUInt64"](c("p_partkey")).alias("u64"), S["toDecimal"](c("p_retailprice"), 12, 2).alias("de"),
+        S["coalesce"](S["nullIf"](x, lit(7)), -x).alias("co"), S["notEmpty"](c("p_name")).alias("ne"),
+    )
+
+
+@query("""SELECT o_orderkey, o_orderdate AS a, make_timestamp(CAST(epoch(o_orderdate) AS BIGINT) * 1000000) AS b,
+  CASE WHEN o_orderkey % 2 = 0 THEN [CAST(o_orderkey AS BIGINT)] ELSE [0] END AS e, list_sort([o_orderkey, o_custkey]) AS v FROM orders""")
+def fn_times_and_values(spark, d):
+    key, x = c("o_orderkey"), c("o_orderdate")
+    some = F.when(key % 2 == 0, S["array"](key)).otherwise(F.array().cast("array<bigint>"))
+    return t(spark, d, "orders").select(
+        "o_orderkey", S["toDateTime"](x.cast("string")).cast("timestamp_ntz").alias("a"),
+        S["fromUnixTimestamp"](S["toUnixTimestamp"](x)).cast("timestamp_ntz").alias("b"),
+        S["emptyArrayToSingle"](some, lit(0).cast("bigint")).alias("e"), F.sort_array(S["mapValues"](S["map"](lit("k"), key, lit("c"), c("o_custkey")))).alias("v"),
+    )
+
+
+@query("""SELECT n_nationkey, true AS now_, true AS days, true AS r, true AS r64, true AS u, true AS ver, 'Int32' AS t1, 'Array(String)' AS t2,
+  'Map(String, Int64)' AS t3, 'Tuple(Int32, Float64)' AS t4, 'Decimal(12, 2)' AS t5 FROM nation""")
+def fn_session(spark, d):
+    """What differs from run to run is held against what must be true of it."""
+    wide, ty = S["rand64"](), S["toTypeName"]
+    name, key = c("n_name"), c("n_nationkey")
+    return t(spark, d, "nation").select(
+        "n_nationkey", (S["now"]() > lit("2024-01-01").cast("timestamp")).alias("now_"), (F.date_diff(S["today"](), S["yesterday"]()) == 1).alias("days"),
+        S["rand"]().between(0, 2**31 - 1).alias("r"), ((wide >= 0) & (wide < lit(str(2**64)).cast("decimal(38,0)"))).alias("r64"),
+        S["generateUUIDv4"]().rlike("^[0-9a-f-]{36}$").alias("u"), (F.char_length(S["version"]()) > 0).alias("ver"), ty(key).alias("t1"), ty(F.array(name)).alias("t2"),
+        ty(F.create_map(name, key.cast("bigint"))).alias("t3"), ty(F.struct(key, key.cast("double"))).alias("t4"), ty(key.cast("decimal(12,2)")).alias("t5"),
+    )
+
+
+@query("""SELECT p_partkey, printf('%.2f', p_retailprice) || '/' || printf('%05d', p_size) || '/' || printf('%X', p_size) AS f FROM part""")
+def fn_format_numbers(spark, d):
+    return t(spark, d, "part").select("p_partkey", S["format"]("{0:F2}/{1:D5}/{1:X}", c("p_retailprice"), c("p_size")).alias("f"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders")
+def fn_row_numbers(spark, d):
+    return W.numbered(t(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey"), "n")
+
+
+@query("SELECT c_nationkey, min(c_acctbal) AS lo, min(c_name) AS first FROM customer GROUP BY c_nationkey")
+def agg_min(spark, d):
+    return t(spark, d, "customer").groupBy("c_nationkey").agg(A["min"](c("c_acctbal")).alias("lo"), A["min"](c("c_name")).alias("first"))
+
+
+@query("""SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE) * 2) AS twice,
+  list_filter(embedding[1:4], lambda x: x > 0) AS positive FROM embeddings""")
+def fn_lambda(spark, d):
+    few = S["arraySlice"](c("embedding"), lit(1), lit(4))
+    return t(spark, d, "embeddings").select(
+        "vec_id", F.transform(few, lambda x: x.cast("double") * 2).alias("twice"), F.filter(few, lambda x: x > 0).alias("positive")
+    )
+
+
+@query("SELECT n_nationkey, n_name AS a, n_regionkey + 1 AS b FROM nation")
+def fn_member(spark, d):
+    pair = F.struct(c("n_name").alias("name"), (c("n_regionkey") + 1).alias("region"))
+    return t(spark, d, "nation").select("n_nationkey", pair.alias("x")).select("n_nationkey", c("x.name").alias("a"), c("x").getField("region").alias("b"))
+
+
+# Clauses
+
+same_sql("group_order_limit", """SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus
+  ORDER BY n DESC, l_returnflag, l_linestatus LIMIT 3 OFFSET 1""", "lineitem")
+same_sql("group_distinct", "SELECT DISTINCT count(*) AS n FROM {customer} GROUP BY c_nationkey", "customer")
+same_sql("group_window", """SELECT c_mktsegment, count(*) AS n, CAST(rank() OVER (ORDER BY count(*) DESC, c_mktsegment) AS BIGINT) AS r
+  FROM {customer} GROUP BY c_mktsegment""", "customer")
+same_sql("win_other_aggregates", """SELECT o_orderkey, round(var_pop(o_totalprice / 1000) OVER (PARTITION BY o_custkey), 3) AS v,
+  count(o_orderpriority) OVER (PARTITION BY o_custkey) AS n FROM {orders}""", "orders")
+same_sql("win_empty_frame", f"""SELECT o_orderkey, count(*) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS n,
+  round(sum(o_totalprice) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING), 2) AS s FROM {{orders}}""", "orders")
+same_sql("sort_nulls", """SELECT c_custkey, nullif(c_nationkey, 3) AS k, nullif(c_nationkey, 4) AS m FROM {customer}
+  ORDER BY k DESC NULLS FIRST, m ASC NULLS LAST, c_custkey LIMIT 120""", "customer")
+same_sql("set_order_limit", "SELECT n_name AS x FROM {nation} UNION SELECT r_name FROM {region} ORDER BY x LIMIT 12", "nation", "region")
+same_sql("cte_scope", "WITH a AS (SELECT n_regionkey AS k FROM {nation}) SELECT k FROM a UNION ALL SELECT k + 100 FROM a", "nation")
+same_sql("from_derived", """SELECT x.k, x.n FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY c_nationkey UNION ALL
+  SELECT n_nationkey, 0 FROM {nation}) AS x WHERE x.n <> 1""", "customer", "nation")
+same_sql("from_parenthesised", """SELECT c_name, n_name, r_name FROM {customer} JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey)
+  ON c_nationkey = n_nationkey""", "customer", "nation", "region")
+same_sql("star_of_one", "SELECT n.*, r.r_name FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey", "nation", "region")
+same_sql("unary_signs", "SELECT c_custkey, -c_acctbal AS m, +c_nationkey AS p, -(-c_acctbal) AS mm FROM {customer}", "customer")
+
+
 # Tables, files and streams
 
 
 @query("""SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS name,
-  CASE WHEN n_regionkey = 1 THEN n_regionkey + 10 ELSE n_regionkey END AS region, '' AS note FROM nation WHERE n_regionkey <> 2""")
+  CASE WHEN n_regionkey = 1 THEN n_regionkey + 10 ELSE n_regionkey END AS region, '' AS note, 7 AS seven FROM nation WHERE n_regionkey <> 2
+  UNION ALL SELECT 99, 'Nowhere', NULL, 'added', 7""")
 def dml_cycle(spark, d):
+    """Statements run, and write, when this is called; the result is the table they leave."""
     tables = Tables(spark, new_path(spark, "tables"))
-    tables.create("places", {"id": "Int32", "name": "String", "region": "Nullable(Int32)", "note": "String"})
+    tables.create("places", {"id": "Int32", "name": "String", "region": "Nullable(Int32)", "note": "String", "seven": "Int32 DEFAULT 3 + 4"})
+    tables.drop("places")
+    tables.create("places", {"id": "Int32", "name": "String", "region": "Nullable(Int32)", "note": "String", "seven": "Int32 DEFAULT 3 + 4"})
     tables.insert("places", t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["id", "name", "region"])
     tables.update("places", {"name": F.concat(F.upper("name"), lit("!")), "region": c("region") + 10}, c("region") == 1)
     tables.delete("places", c("region") == 2)
+    tables.insert("places", [(99, "Nowhere", "added")], ["id", "name", "note"])
     return tables.table("places")
 
 
 @query("SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
 def csv_round_trip(spark, d):
+    """The file is written when this is called."""
     path = new_path(spark, "csv")
     csv.write_csv(t(spark, d, "supplier"), path)
     return csv.read_csv(spark, path)

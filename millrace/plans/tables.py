@@ -1,12 +1,14 @@
-"""Named tables with INSERT, UPDATE and DELETE, as Parquet versions.
+"""Named tables with INSERT, UPDATE and DELETE, as sets of Parquet files.
 
-Every change writes the table's next version beside the last and then points the temporary view at it, so a reader sees
-one version or the other and a failed change leaves the table as it was. Unsigned types become the next wider signed ones.
+INSERT adds a set of files of the new rows alone; UPDATE and DELETE write the table anew. Each change is written first
+and then the temporary view is pointed at it, so a reader sees the table before it or after it, and a failed change leaves
+the table as it was. Unsigned types become the next wider signed ones.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,7 @@ def spark_type(name: str) -> tuple[str, bool]:
             raise ValueError(f"no such type: {name}")
         return TYPES[name.lower()], False
     outer, inner = m[1].lower(), m[2]
-    parts = re.findall(r"(?:[^,()]|\((?:[^()]|\([^()]*\))*\))+", inner)
+    parts = [x.strip() for x in re.findall(r"(?:[^,()]|\((?:[^()]|\([^()]*\))*\))+", inner)]
     if outer == "nullable":
         return spark_type(inner)[0], True
     if outer == "lowcardinality":
@@ -42,15 +44,18 @@ def spark_type(name: str) -> tuple[str, bool]:
     if outer == "map":
         return f"map<{spark_type(parts[0])[0]},{spark_type(parts[1])[0]}>", False
     if outer == "tuple":
+        named = [re.fullmatch(r"(\w+)\s+(\S.*)", p, re.S) for p in parts]
+        if all(named):
+            return "struct<" + ",".join(f"{x[1]}:{spark_type(x[2])[0]}" for x in named) + ">", False
         return "struct<" + ",".join(f"_{i}:{spark_type(p)[0]}" for i, p in enumerate(parts, 1)) + ">", False
     if outer in ("datetime", "datetime64"):
         return "timestamp", False
-    if outer == "fixedstring":
+    if outer in ("fixedstring", "enum8", "enum16"):
         return "string", False
     if outer == "decimal":
         return f"decimal({inner})", False
-    if m := re.fullmatch(r"decimal(32|64|128)", outer):
-        return f"decimal({ {'32': 9, '64': 18, '128': 38}[m[1]]},{inner.strip()})", False
+    if m := re.fullmatch(r"decimal(32|64|128|256)", outer):
+        return f"decimal({ {'32': 9, '64': 18, '128': 38, '256': 38}[m[1]]},{inner.strip()})", False
     raise ValueError(f"no such type: {name}")
 
 
@@ -75,28 +80,38 @@ class Tables:
         """folder: a path that driver and executors share."""
         self.spark, self.folder = spark, folder.rstrip("/")
         self._schemas: dict[str, T.StructType] = {}
-        self._versions: dict[str, int] = {}
+        self._defaults: dict[str, dict[str, Column]] = {}
+        self._paths: dict[str, list[str]] = {}
+        self._homes: dict[str, str] = {}
 
     def create(self, name: str, columns: Mapping[str, str], if_not_exists: bool = False) -> None:
-        """columns: dialect types by name. Columns that aren't Nullable take the type's default for null."""
+        """columns: dialect types by name, each with DEFAULT and an SQL expression after it if wanted. A column that an
+        INSERT leaves out takes its default; for null, one that isn't Nullable takes it, or else the type's own."""
         key = name.lower()
         if key in self._schemas:
             if if_not_exists:
                 return
             raise ValueError(f"table exists: {name}")
-        kinds = {c: spark_type(t) for c, t in columns.items()}
+        given = {c: re.split(r"\s+default\s+", t, maxsplit=1, flags=re.I) for c, t in columns.items()}
+        kinds = {c: spark_type(t[0]) for c, t in given.items()}
         parsed = T.StructType.fromDDL(", ".join(f"`{c}` {sql}" for c, (sql, _) in kinds.items()))
+        self._defaults[key] = {f.name: F.expr(given[f.name][1]).cast(f.dataType) for f in parsed.fields if len(given[f.name]) > 1}
         self._schemas[key] = T.StructType([T.StructField(f.name, f.dataType, kinds[f.name][1]) for f in parsed.fields])
-        self._versions[key] = 0
+        self._homes[key], self._paths[key] = f"{self.folder}/{key}-{uuid.uuid4().hex}", []
         self._publish(key, self.spark.createDataFrame([], parsed))
 
     def drop(self, name: str, if_exists: bool = False) -> None:
-        if name.lower() not in self._schemas:
+        """The table's files go with it."""
+        key = name.lower()
+        if key not in self._schemas:
             if if_exists:
                 return
             raise KeyError(f"no such table: {name}")
-        self.spark.catalog.dropTempView(name)
-        del self._schemas[name.lower()]
+        self.spark.catalog.dropTempView(key)
+        home = self.spark._jvm.org.apache.hadoop.fs.Path(self._homes[key])
+        home.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(home, True)
+        for held in (self._schemas, self._defaults, self._paths, self._homes):
+            del held[key]
 
     def names(self) -> list[str]:
         return sorted(self._schemas)
@@ -109,12 +124,12 @@ class Tables:
             raise KeyError(f"no such table: {name}")
         return self.spark.table(name)
 
-    def _publish(self, key: str, df: DataFrame) -> None:
-        version = self._versions[key] + 1
-        path = f"{self.folder}/{key}/v{version}"
+    def _publish(self, key: str, df: DataFrame, add: bool = False) -> None:
+        path = f"{self._homes[key]}/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        self.spark.read.schema(df.schema).parquet(path).createOrReplaceTempView(key)
-        self._versions[key] = version
+        paths = [*self._paths[key], path] if add else [path]
+        self.spark.read.schema(df.schema).parquet(*paths).createOrReplaceTempView(key)
+        self._paths[key] = paths
 
     def _filled(self, key: str, df: DataFrame) -> DataFrame:
         given = {c.lower(): c for c in df.columns}
@@ -122,8 +137,10 @@ class Tables:
             raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
         out = []
         for f in self._schemas[key].fields:
-            x = df[given[f.name.lower()]].cast(f.dataType) if f.name.lower() in given else F.lit(None).cast(f.dataType)
-            out.append((x if f.nullable else F.coalesce(x, _default(f.dataType))).alias(f.name))
+            own = self._defaults[key].get(f.name)
+            missing = F.lit(None).cast(f.dataType) if own is None else own
+            x = df[given[f.name.lower()]].cast(f.dataType) if f.name.lower() in given else missing
+            out.append((x if f.nullable else F.coalesce(x, missing, _default(f.dataType))).alias(f.name))
         return df.select(*out)
 
     def insert(self, name: str, rows: DataFrame | Sequence[tuple], columns: Sequence[str] | None = None) -> None:
@@ -133,7 +150,7 @@ class Tables:
         if not isinstance(rows, DataFrame):
             kinds = {f.name.lower(): f.dataType for f in self._schemas[name.lower()].fields}
             rows = self.spark.createDataFrame(list(rows), T.StructType([T.StructField(c, kinds.get(c.lower(), T.StringType())) for c in columns]))
-        self._publish(name.lower(), now.unionByName(self._filled(name.lower(), rows.toDF(*columns))))
+        self._publish(name.lower(), self._filled(name.lower(), rows.toDF(*columns)), add=True)
 
     def update(self, name: str, assignments: Mapping[str, Column], where: Column | None = None) -> int:
         """Every assignment sees the row as it was. Gives back the number of rows that meet where."""

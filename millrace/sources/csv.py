@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Iterable
 from datetime import datetime
 
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ def _is_time(x: str) -> bool:
 
 _TESTS = (
     ("boolean", lambda x: x.lower() in ("true", "false", "0", "1")),
-    ("bigint", lambda x: bool(re.fullmatch(r"[+-]?\d{1,18}", x))),
+    ("bigint", lambda x: bool(re.fullmatch(r"[+-]?\d+", x)) and -(1 << 63) <= int(x) < 1 << 63),
     ("double", lambda x: bool(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", x))),
     ("timestamp", _is_time),
 )
@@ -52,7 +55,7 @@ def _cell(name: str, kind: str, nullable: bool) -> Column:
 
 
 def read_csv(
-    spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', header: bool = True, infer_types: bool = True
+    spark: SparkSession, path: str | RDD, delimiter: str = ",", quote: str = '"', header: bool = True, infer_types: bool = True
 ) -> DataFrame:
     """Without a header the columns are column1, column2, ...; blank lines are skipped, short rows filled up."""
     raw = spark.read.csv(path, sep=delimiter, quote=quote, escape=quote, header=header, inferSchema=False, mode="PERMISSIVE")
@@ -63,6 +66,22 @@ def read_csv(
     return raw.select(*[_cell(c, *infer(r[i] for r in sample)) for i, c in enumerate(raw.columns)])
 
 
+def read_csv_text(spark: SparkSession, text: str, **options) -> DataFrame:
+    """As read_csv, from the text of a CSV file."""
+    return read_csv(spark, spark.sparkContext.parallelize(text.splitlines()), **options)
+
+
+def csv_text(df: DataFrame, delimiter: str = ",", quote: str = '"', header: bool = True) -> str:
+    """The rows as the text of one CSV file, put together row by row; for results that a string is to hold."""
+    out = io.StringIO()
+    writer = csv.writer(out, delimiter=delimiter, quotechar=quote, lineterminator="\n")
+    if header:
+        writer.writerow(df.columns)
+    plain = df.select(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    writer.writerows(["" if x is None else x for x in row] for row in plain.toLocalIterator())
+    return out.getvalue()
+
+
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"', header: bool = True, mode: str = "error") -> None:
     """Null is written as an empty cell."""
     df.write.csv(path, sep=delimiter, quote=quote, escape=quote, header=header, nullValue="", emptyValue="", mode=mode)

@@ -11,6 +11,8 @@ def test_types():
     assert spark_type("Nullable(Int64)") == ("bigint", True)
     assert spark_type("Map(String, Array(UInt8))") == ("map<string,array<smallint>>", False)
     assert spark_type("Tuple(Int8, String)")[0] == "struct<_1:tinyint,_2:string>"
+    assert spark_type("Tuple(a Int8, b Array(String))")[0] == "struct<a:tinyint,b:array<string>>"
+    assert spark_type("Enum8('a' = 1)")[0] == "string" and spark_type("Decimal256(4)")[0] == "decimal(38,4)"
     with pytest.raises(ValueError):
         spark_type("Nothing(1)")
 
@@ -31,7 +33,12 @@ def test_table_changes(spark, tmp_path):
         t.insert("t", [("1",)], ["nothing"])
     t.drop("t")
     t.drop("t", if_exists=True)
-    assert not t.exists("t") and t.names() == []
+    assert not t.exists("t") and t.names() == [] and not list(tmp_path.iterdir())
+    t.create("t", {"id": "Int64", "n": "Nullable(Int32) DEFAULT 6 * 7"})
+    t.insert("t", [(1,), (2,)], ["id"])
+    before = len(list(tmp_path.glob("t-*/*")))
+    t.insert("t", [(3, None)])
+    assert len(list(tmp_path.glob("t-*/*"))) == before + 1 and sorted(map(tuple, t.table("t").collect())) == [(1, 42), (2, 42), (3, None)]
 
 
 def test_csv_inference(spark, tmp_path):
@@ -44,6 +51,13 @@ def test_csv_inference(spark, tmp_path):
     assert plain.columns[0] == "column1"
 
 
+def test_csv_text_and_wide_numbers(spark):
+    text = 'a,b\n1234567890123456789,"x,y"\n-9223372036854775808,z\n'
+    df = csv.read_csv_text(spark, text)
+    assert df.dtypes[0] == ("a", "bigint") and {r.a for r in df.collect()} == {1234567890123456789, -(1 << 63)}
+    assert csv.csv_text(df.orderBy(F.desc("a"))) == text and csv.infer(["9223372036854775808"]) == ("double", False)
+
+
 def test_asof_edges(spark):
     left = spark.createDataFrame([(1, "k", 5), (2, "k", 1), (3, None, 5), (4, "k", None)], "id int, k string, t int")
     right = spark.createDataFrame([("k", 2, "a"), ("k", 5, "b"), ("k", 5, "c"), (None, 1, "n"), ("k", None, "z")], "k string, rt int, v string")
