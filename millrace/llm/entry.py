@@ -61,7 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": TOPK_SQL, "op5_sharding": SHARDING_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op4_minhash_near_dedup": NEAR_SQL, "op5_sharding": SHARDING_SQL}
 
 
 TOPK_SQL = """
@@ -97,3 +97,30 @@ SELECT doc_id, slot, name AS shard
 FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 4099 AS slot FROM documents) d
 JOIN fill USING (slot) JOIN shards ON i = turn % 32
 """
+
+#: All pairs of sets that share a shingle, copies first made one; then the least id reachable, link by link.
+NEAR_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN list_distinct([w[1]])
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words
+), classes AS (
+  SELECT s, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), grams AS (
+  SELECT id, n, unnest(s) AS g FROM classes
+), common AS (
+  SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM grams a JOIN grams b
+    ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c) UNION SELECT b, a FROM common WHERE 100 * c >= 80 * (na + nb - c)
+), reached AS (
+  SELECT id, id AS least FROM classes UNION SELECT l.b, r.least FROM reached r JOIN links l ON l.a = r.id WHERE r.least < l.b
+), parts AS (
+  SELECT id, min(least) AS component_id FROM reached GROUP BY id
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(p.component_id, d.doc_id) AS component_id,
+  d.doc_id = coalesce(p.component_id, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN parts p ON p.id = c.id
+"""

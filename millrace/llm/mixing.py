@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, small_join, stored
 
 CHUNK = 256
 MAX_COPIES = 3
@@ -171,12 +171,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 7)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, with the columns of ``docs``."""
-    chosen = mix(docs, weights, seed).filter("copies > 0").select(F.col("h").alias("_h"), F.col("n").alias("_n"), "copies")
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text", "source"))
-    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy("doc_id")))
-    return (
-        keyed.join(chosen, ["_h", "_n"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*docs.columns)
-    )
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, with the columns of ``docs``.
+
+    Nulls, repeated rows and empty tables are as ``mix`` has them. Rows that repeat id, text and source are dealt their
+    copies one by one; the others find theirs by a hash, without a shuffle of texts where the mix's rows are few enough.
+    """
+    chosen = stored(mix(docs, weights, seed).select(F.col("h").alias("__h"), F.col("n").alias("__n"), F.col("copies").alias("__copies")))
+    repeated = stored(chosen.filter("__n > 1").select("__h").distinct())
+    taken = chosen.filter("__copies > 0")
+    keyed = docs.withColumn("__h", F.xxhash64("doc_id", "text", "source"))
+    single = small_join(keyed, small_join(taken, repeated, "__h", "left_anti").select("__h", "__copies"), "__h")
+    several = small_join(keyed, repeated, "__h", "left_semi")
+    several = several.withColumn("__n", F.row_number().over(Window.partitionBy("__h").orderBy("doc_id"))).join(taken, ["__h", "__n"])
+    both = single.select(*docs.columns, "__copies").unionByName(several.select(*docs.columns, "__copies"))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
