@@ -1,5 +1,8 @@
 """The pipeline's stages on the smallest documents, each held against its own input."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from millrace.llm import minhash, mixing, outliers
 from millrace.llm.common import stored, table
@@ -27,3 +30,18 @@ def test_stages(spark):
     assert copies == {i: n for i, n in taken.items() if n}
     total = packed.groupBy("doc_id").sum("length").collect()
     assert {r.doc_id for r in total} == set(copies)
+
+
+def test_stages_take_nulls_repeats_clashing_columns_and_nothing(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 80)) for _ in range(12)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(3, texts[3], "en", "a"), (None, texts[4], None, None), (None, None, "en", None), (20, "", "en", "a")]
+    schema = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(1) for c in ("copies", "kept", "n_lines", "m0", "component", "key", "size", "h", "n")})
+    for df in (docs, docs.filter("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df = stored(stage(spark, df, ""))
+            assert df.columns == docs.columns
+        assert {r.text for r in df.collect()} <= set(texts)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, df, "")
+        assert (pieces.count() > 0) == (df.count() > 0)
