@@ -44,22 +44,23 @@ def _events(markup: str) -> Iterator[tuple[str, str]]:
 
     A comment, script or the like that doesn't end hides the rest; a tag that doesn't end is text.
     """
-    at = 0
-    while (begin := markup.find("<", at)) >= 0:
+    at, find, named = 0, markup.find, _NAME.match
+    while (begin := find("<", at)) >= 0:
         if begin > at:
             yield "", markup[at:begin]
-        if markup.startswith("<!--", begin):
-            end = markup.find("-->", begin + 4)
-            if end < 0:
-                return
-            at = end + 3
-            continue
         first = begin + 1 + markup.startswith("/", begin + 1)
-        name = _NAME.match(markup, first)
-        if not name and markup[first : first + 1] not in ("!", "?") or first >= len(markup):
-            yield "", markup[begin:first]
-            at = first
-            continue
+        name = named(markup, first)
+        if not name:
+            if markup.startswith("<!--", begin):
+                end = find("-->", begin + 4)
+                if end < 0:
+                    return
+                at = end + 3
+                continue
+            if markup[first : first + 1] not in ("!", "?") or first >= len(markup):
+                yield "", markup[begin:first]
+                at = first
+                continue
         end = markup.find(">", first)
         if end < 0:
             yield "", markup[begin:]
@@ -85,7 +86,7 @@ def page_parts(markup: str) -> tuple[str, str | None, str | None, list[str]]:
     in_title = False
     for name, rest in _events(markup):
         if not name:
-            out.append(re.sub(r"\s+", " ", rest))
+            out.append(rest.replace("\n", " "))
             if in_title:
                 titles.append(rest)
             continue
