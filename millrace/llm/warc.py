@@ -29,6 +29,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main "
     "nav ol option p pre section select table tbody td tfoot th thead title tr ul".split()
 )
+_EDGES = _BLOCKS | {f"/{x}" for x in _BLOCKS}
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*")
 _LANG = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -90,7 +91,7 @@ def page_parts(markup: str) -> tuple[str, str | None, str | None, list[str]]:
             if in_title:
                 titles.append(rest)
             continue
-        if name.lstrip("/") in _BLOCKS:
+        if name in _EDGES:
             out.append("\n")
         if name == "title" and title is None and not in_title:
             in_title, titles = True, []
