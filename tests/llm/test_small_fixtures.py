@@ -390,6 +390,32 @@ def test_passages_link_all_pairs_of_a_key(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) == 4
 
 
+def test_places_are_all_common_beginnings():
+    rng = np.random.default_rng(4)
+    doc, key, packed, want = [], [], [], []
+    for d in range(5):
+        spans = []
+        for f in range(passages.HASHES):
+            at = int(rng.integers(0, 30))
+            for k in range(int(rng.integers(0, 9))):
+                lo = at
+                hi = lo + int(rng.integers(0, passages.SPAN))
+                c, at = int(rng.integers(hi, lo + passages.SPAN)), hi + 1 + int(rng.integers(0, 20))
+                spans.append((f, c, lo, hi))
+                doc, key = [*doc, d], [*key, f * 1000 + k]
+                packed.append(((c * passages.SPAN + c - lo) * passages.SPAN + c - hi) * passages.HASHES + f)
+        want += [(d, c, max(lo, lo2), min(hi, hi2)) for f, c, lo, hi in spans for f2, _, lo2, hi2 in spans if f < f2 and max(lo, lo2) <= min(hi, hi2)]
+    got = passages._met(*(np.array(x, np.int64) for x in (doc, key, packed)))
+    assert sorted(zip(*[v.tolist() for v in got[1:]], strict=True)) == sorted(want)
+
+
+def test_passages_of_repeated_ids(spark):
+    shared = " ".join(f"s{i}" for i in range(80))
+    rows = [(1, shared, "a"), (1, shared, "b"), (1, "another text " + shared, "a"), (2, "x y z " + shared + " end", "a"), (None, shared, "a"), (3, None, "a")]
+    got = passages.passages(docs_of(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and len({r.class_id for r in got}) == 1 and all(78 <= r.n_words <= 84 for r in got)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(100):
