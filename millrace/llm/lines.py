@@ -171,9 +171,41 @@ def _same(x: str, y: str) -> int:
     return low
 
 
+def _alike(x: str, i: int, y: str, j: int) -> int:
+    """How many characters from i on in x and from j on in y are alike; takes steps in proportion to the number's logarithm."""
+    n, step, most = 0, 16, min(len(x) - i, len(y) - j)
+    while n + step <= most and x[i + n : i + n + step] == y[j + n : j + n + step]:
+        n, step = n + step, 2 * step
+    while step:
+        if n + step <= most and x[i + n : i + n + step] == y[j + n : j + n + step]:
+            n += step
+        step //= 2
+    return n
+
+
+def _edits(x: str, y: str, most: int) -> int:
+    """The length of one way of edits from x to y, so no less than their distance; ways above ``most`` aren't finished.
+
+    Where they differ, a letter or the rest of a word is put for another, or a letter or a word left out or put in,
+    whichever lets most follow alike.
+    """
+    i = j = cost = 0
+    while cost <= most:
+        n = _alike(x, i, y, j)
+        i, j = i + n, j + n
+        if i == len(x) or j == len(y):
+            return cost + len(x) - i + len(y) - j
+        a, b = (t.find(" ", k) % (len(t) + 1) for t, k in ((x, i), (y, j)))
+        long_x, long_y = a - x.rfind(" ", 0, i), b - y.rfind(" ", 0, j)
+        ways = (1, 1), (a - i, b - j), (1, 0), (0, 1), (min(long_x, len(x) - i), 0), (0, min(long_y, len(y) - j))
+        p, q = max(ways, key=lambda way: _alike(x, i + way[0], y, j + way[1]) - max(way))
+        i, j, cost = i + p, j + q, cost + max(p, q)
+    return cost
+
+
 def within(x: str, y: str, most: int) -> bool:
-    """Whether the edit distance of x and y is at most ``most``: a column of the distance table is two long numbers whose
-    bits say where it rises and falls by one."""
+    """Whether the edit distance of x and y is at most ``most``. A way of edits that is short enough proves it; else a
+    column of the distance table is two long numbers whose bits say where it rises and falls by one."""
     k = _same(x, y)
     x, y = x[k:], y[k:]
     k = _same(x[::-1], y[::-1])
@@ -182,6 +214,8 @@ def within(x: str, y: str, most: int) -> bool:
         return False
     if len(y) <= most or not x:
         return len(y) <= most
+    if _edits(x, y, most) <= most:
+        return True
     where: dict[str, int] = {}
     for i, c in enumerate(x):
         where[c] = where.get(c, 0) | 1 << i
@@ -221,33 +255,48 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return held
 
 
-def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (key, id, ..) with the component that links make of their id."""
-    part = components(links).select(F.col("node").alias("id"), "component")
-    return small_join(rows, part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _placed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (key, id, ..) with the component of groups (id, component) that their id is in, or itself."""
+    return small_join(rows, groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """groups (id, component) with those joined that links (a, b) connect: only links between components are followed, as
+    links of these, so those inside one are never labelled again."""
+    if groups is None:
+        return components(links).select(F.col("node").alias("id"), "component")
+    of = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    across = small_join(small_join(links, of("a"), "a", "left"), of("b"), "b", "left")
+    across = across.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct()
+    moved = components(stored(across))
+    every = groups.union(moved.select("node", "node")).distinct()
+    moved = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return stored(small_join(every, moved, "component", "left").select("id", F.coalesce("now", "component").alias("component")))
 
 
 def near_lines(classes: DataFrame) -> DataFrame:
-    """a, b: links between classes (id, norm) that connect all that meet in a key and have SIMILARITY.
+    """id, component: the groups of classes (id, norm) that links connect: all that meet in a key and have SIMILARITY.
 
     In each key the classes are held against its least one, then, where they aren't of one group yet, against another one,
     and at last all against all of other groups, so no pair that shares a key is left out.
     """
     signed = stored(with_keys(classes))
     keys = signed.select("id", "len", "sketch", "level", F.explode("keys").alias("key"))
-    leaders = stored(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key"))
+    leaders = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     rows = stored(small_join(keys, leaders, "key", "left_semi"))
     dropped(signed, leaders)
     allowed = 100 * F.least("len_a", "len_b") >= round(100 * SIMILARITY) * F.greatest("len_a", "len_b")
     most = DIFFER * (F.bit_count("sketch_a") + F.bit_count("sketch_b")) + BITS
     allowed &= (F.col("level_a") != F.col("level_b")) | (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= most)
     about = ("id", "len", "sketch", "level", "component")
-    held, open_rows = None, rows.withColumn("component", F.col("id"))
+    held, groups, open_rows = None, None, rows.withColumn("component", F.col("id"))
     for turn in range(ROUNDS + 1):
-        if held is not None:
-            open_rows = _placed(rows, held.filter("linked").select("a", "b"))
+        if groups is not None:
+            open_rows = _placed(rows, groups)
             mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
             open_rows = stored(small_join(open_rows, stored(mixed.select("key")), "key", "left_semi"))
+            dropped(rows)
+            rows = open_rows.drop("component")
         left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in about]) for s in "ab")
         if turn < ROUNDS:
             order = F.xxhash64("id_a", F.lit(turn)) if turn else F.col("id_a")
@@ -258,15 +307,14 @@ def near_lines(classes: DataFrame) -> DataFrame:
         pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         pairs = stored(pairs if held is None else pairs.join(held.select("a", "b"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            if turn < ROUNDS and turn:
-                continue
-            break
+            continue
         now = _verified(pairs, classes)
         held = now if held is None else held.unionByName(now)
+        groups = _joined(groups, now.filter("linked").select("a", "b"))
     dropped(rows)
-    if held is None:
-        return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false")
-    return held.filter("linked").select("a", "b")
+    if groups is None:
+        return classes.select("id", F.col("id").alias("component")).filter("false")
+    return groups
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -275,7 +323,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm")
     )
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
-    part = components(near_lines(classes)).select(F.col("node").alias("id"), "component")
+    part = near_lines(classes)
     narrow = classes.select("id", "h1", "h2", "first", "n")
     placed = small_join(narrow, part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
