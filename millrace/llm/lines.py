@@ -184,13 +184,14 @@ def _alike(x: str, i: int, y: str, j: int) -> int:
 
 
 def _edits(x: str, y: str, most: int) -> int:
-    """The length of one way of edits from x to y, so no less than their distance; ways above ``most`` aren't finished.
+    """The length of one way of edits from x to y, so no less than their distance; more than ``most`` where it isn't finished,
+    as it is too long or takes many steps for the way it has come.
 
     Where they differ, a letter or the rest of a word is put for another, or a letter or a word left out or put in,
     whichever lets most follow alike.
     """
-    i = j = cost = 0
-    while cost <= most:
+    i = j = cost = steps = 0
+    while cost <= most and steps <= 3 + (i + j) // 50:
         n = _alike(x, i, y, j)
         i, j = i + n, j + n
         if i == len(x) or j == len(y):
@@ -199,8 +200,8 @@ def _edits(x: str, y: str, most: int) -> int:
         long_x, long_y = a - x.rfind(" ", 0, i), b - y.rfind(" ", 0, j)
         ways = (1, 1), (a - i, b - j), (1, 0), (0, 1), (min(long_x, len(x) - i), 0), (0, min(long_y, len(y) - j))
         p, q = max(ways, key=lambda way: _alike(x, i + way[0], y, j + way[1]) - max(way))
-        i, j, cost = i + p, j + q, cost + max(p, q)
-    return cost
+        i, j, cost, steps = i + p, j + q, cost + max(p, q), steps + 1
+    return most + 1
 
 
 def within(x: str, y: str, most: int) -> bool:
