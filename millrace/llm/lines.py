@@ -37,8 +37,9 @@ SKETCHED, DIFFER, BITS = 24, 0.35, 4
 LETTERS_TO = 60
 #: A word of at most so many bytes counts together with the one before it.
 SHORT_WORD = 3
-#: Rounds in which the classes of a key are held against one of them, before all that aren't of one group meet.
-ROUNDS = 2
+#: Rounds in which the classes of a key are held against one of them, before all that aren't of one group meet: first against
+#: the one of all their keys' with which they share most keys, then against the others.
+ROUNDS = 3
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 
 
@@ -278,8 +279,9 @@ def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
 def near_lines(classes: DataFrame) -> DataFrame:
     """id, component: the groups of classes (id, norm) that links connect: all that meet in a key and have SIMILARITY.
 
-    In each key the classes are held against its least one, then, where they aren't of one group yet, against another one,
-    and at last all against all of other groups, so no pair that shares a key is left out.
+    Each class is held against one of the least ones of its keys, then, where they aren't of one group yet, against the
+    other ones, against another one of each key, and at last all against all of other groups, so no pair that shares a
+    key is left out.
     """
     signed = stored(with_keys(classes))
     keys = signed.select("id", "len", "sketch", "level", F.explode("keys").alias("key"))
@@ -300,11 +302,14 @@ def near_lines(classes: DataFrame) -> DataFrame:
             rows = open_rows.drop("component")
         left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in about]) for s in "ab")
         if turn < ROUNDS:
-            order = F.xxhash64("id_a", F.lit(turn)) if turn else F.col("id_a")
+            order = F.xxhash64("id_a", F.lit(turn)) if turn > 1 else F.col("id_a")
             left = left.groupBy("key").agg(F.min_by(F.struct(*[f"{c}_a" for c in about]), order).alias("x")).select("key", "x.*")
         met = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & allowed)
         if turn == ROUNDS:
             met = met.filter("id_a < id_b")
+        if turn == 0:
+            shared = met.groupBy("id_a", "id_b").agg(F.count("*").alias("n"))
+            met = shared.groupBy("id_b").agg(F.min_by("id_a", F.struct(-F.col("n"), "id_a")).alias("id_a"))
         pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         pairs = stored(pairs if held is None else pairs.join(held.select("a", "b"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
@@ -320,7 +325,8 @@ def near_lines(classes: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no of each line to drop from docs (doc_id, text)."""
-    grouped = _lines(docs).groupBy("h1", "h2").agg(
+    every = stored(_lines(docs))
+    grouped = every.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm")
     )
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
@@ -330,7 +336,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     kept = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
     repeated = stored(placed.join(kept, "component").select("h1", "h2", "keep"))
     dropped(classes)
-    rows = small_join(_lines(docs).drop("norm"), repeated, ["h1", "h2"])
+    rows = small_join(every.drop("norm"), repeated, ["h1", "h2"])
     return rows.filter(~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("keep"))).select("doc_id", "text_hash", "line_no")
 
 
