@@ -8,23 +8,19 @@ features it touches, so by the pigeonhole principle near lines agree in others,
 blocks of three words, from every feature on, and of letter triples too. One SimHash of a whole line, cut into blocks,
 has no such blocks: a changed word in ten moves bits of nearly all of them.
 
-Signatures and edit distances are counted in numpy and Python, in Arrow batches: in DataFrame functions alone they took
-four times the CPU time that they may. Lines that meet are verified by edit similarity. Of each connected group one occurrence stays, the first by doc_id and line.
+Signatures and edit distances are DataFrame functions. Lines that meet are verified by edit similarity. Of each connected group one occurrence stays, the first by doc_id and line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, dropped, small_join, stored
 from .graph import components
-from .hashing import measured_words, mix, passes
 
 SIMILARITY = 0.8
 #: Words and letter triples of a block, and cuts of the ring.
@@ -33,125 +29,85 @@ BLOCKS, CUTS = (4, 5), 16
 WHOLE, LEAST = 14, 3
 #: Features in a sketch, about, and the share of the bits of two sketches, beside BITS more, that may differ.
 SKETCHED, DIFFER, BITS = 24, 0.35, 4
-#: Lines of at most so many bytes have blocks of letter triples too.
+#: Lines of at most so many characters have blocks of letter triples too.
 LETTERS_TO = 60
 #: A word of at most so many bytes counts together with the one before it.
 SHORT_WORD = 3
 #: Rounds in which the classes of a key are held against one of them, before all that aren't of one group meet: first against
 #: the one of all their keys' with which they share most keys, then against the others.
 ROUNDS = 3
-_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+#: Rows of a key, and characters of their lines, of a block in which the last round holds the lines of large keys.
+BLOCK, BLOCK_CHARS = 64, 1 << 20
+#: Letters of Thai, Lao, Tibetan, Myanmar, Khmer, Hiragana, Katakana and Han, which have no spaces.
+_UNSPACED = r"[\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{1B000}-\x{1B16F}\x{20000}-\x{323AF}]"
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def _rings(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different hashes of each of n lines (48 bits of each, in order), and where each line's begin, with the end."""
-    every = np.unique((of.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
-    begins = np.searchsorted(every, np.arange(n + 1, dtype=np.uint64) << np.uint64(48))
-    return every & np.uint64((1 << 48) - 1), begins
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once."""
+    return F.transform(F.array(value), f)[0]
 
 
-def simhash(hashes: list[np.ndarray]) -> np.ndarray:
-    """Of three to five hashes, each bit as most have it; as the first has it, where two have it and two don't."""
-    most = lambda a, b, c: a & (b | c) | b & c
+def _ring(hashes: Column) -> Column:
+    return F.sort_array(F.array_distinct(hashes))
+
+
+def word_features(norm: Column) -> Column:
+    """The sorted different hashes of the words of a normalised line; a short one's together with the word before it."""
+    apart = F.array_remove(F.split(F.regexp_replace(norm, _UNSPACED, " $0 "), " "), "")
+    words = F.when(F.octet_length(norm) == F.char_length(norm), F.split(norm, " ")).otherwise(apart)
+    hashed = lambda ws: lambda w, i: F.xxhash64(w, F.when(F.octet_length(w) <= SHORT_WORD, F.get(ws, i - 1)))
+    return _ring(_once(words, lambda ws: F.transform(ws, hashed(ws))))
+
+
+def letter_features(norm: Column) -> Column:
+    """The sorted different hashes of each three characters in a row of a normalised line, with a space at both ends."""
+    triple = lambda t: lambda i: F.xxhash64(F.lit(3), F.substring(t, i, F.lit(3)))
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(norm), F.lit(1)))
+    return _ring(_once(F.concat(F.lit(" "), norm, F.lit(" ")), lambda t: F.transform(at, triple(t))))
+
+
+def simhash(hashes: list, both: Callable = np.bitwise_and, either: Callable = np.bitwise_or, one: Callable = np.bitwise_xor):  # noqa: ANN201
+    """Of three to five hashes, each bit as most have it; as the first has it, where two have it and two don't. Arrays by
+    themselves; Columns with their bitwise and, or and exclusive or."""
+    most = lambda a, b, c: either(both(a, either(b, c)), both(b, c))
     if len(hashes) == 3:
         return most(*hashes)
     a, b, c, d, e = hashes if len(hashes) == 5 else [hashes[0], *hashes]
-    odd = a ^ b ^ c
+    odd = one(one(a, b), c)
     pairs, more = most(a, b, c), most(odd, d, e)
-    return pairs & more | (pairs | more) & (odd ^ d ^ e)
-
-
-def _sketches(ring: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each line 64 bits, of which each feature sets one, and a level: of many features, only those that level zeros
-    begin, so that about SKETCHED are left."""
-    size = np.diff(begins)
-    level = np.maximum(0, np.log2(np.maximum(size, 1) / SKETCHED).astype(np.int64))
-    of = np.repeat(np.arange(len(size)), size)
-    h = mix(ring)
-    keep = (h >> (np.uint64(64) - level[of].astype(np.uint64)) == 0) | (level[of] == 0)
-    bits = np.where(keep, np.uint64(1) << (h & np.uint64(63)), np.uint64(0))
-    out = np.zeros(len(size), np.uint64)
-    full = np.flatnonzero(size)
-    if len(full):
-        out[full] = np.bitwise_or.reduceat(bits, begins[:-1][full])
-    return out.view(np.int64), level.astype(np.int32)
-
-
-def _blocks(ring: np.ndarray, begins: np.ndarray, tag: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Line and block, one line after another: the SimHash of ``block`` features of the ring in a row, from the first after
-    each cut on; if they are few, of LEAST from each one on. Of still fewer features, the hash of all."""
-    size = np.diff(begins)
-    of = np.repeat(np.arange(len(size)), size)
-    n, start = size[of], begins[:-1][of]
-    at, spread = np.arange(len(ring)) - start, mix(ring + np.uint64(tag << 48))
-    part = (ring >> np.uint64(48 - CUTS.bit_length() + 1)).astype(np.int64)
-    cut = (at == 0) | (part != np.roll(part, 1))
-    follow = lambda where, k: spread[start[where] + (at[where] + k) % n[where]]
-    out = np.zeros(len(ring), np.uint64)
-    for where, k in (((n > WHOLE) & cut, block), ((n <= WHOLE) & (n >= LEAST), LEAST)):
-        where = np.flatnonzero(where)
-        out[where] = simhash([follow(where, i) for i in range(k)])
-    few = np.flatnonzero((n < LEAST) & (at == 0))
-    out[few] = mix(spread[few] + np.uint64(1)) + np.where(n[few] > 1, follow(few, 1), np.uint64(0))
-    some = (n > WHOLE) & cut | (n <= WHOLE) & (n >= LEAST) | (n < LEAST) & (at == 0)
-    return of[some], out[some]
-
-
-def _words(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and line of each word; a short one's together with the word before it."""
-    spaced = [t if t.isascii() else _UNSPACED.sub(r" \g<0> ", t) for t in norms]
-    words, begins, length = measured_words(spaced, lower=False)
-    of = np.repeat(np.arange(len(norms)), np.diff(begins))
-    joined = length <= SHORT_WORD
-    joined[begins[:-1][begins[:-1] < len(words)]] = False
-    words[joined] = mix(words[joined] + mix(np.roll(words, 1)[joined]))
-    return words, of
-
-
-def _triples(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and line of each three bytes in a row of the lines of at most LETTERS_TO bytes, with a space at both ends."""
-    coded = [c if len(c) <= LETTERS_TO + 2 else b"" for c in (f" {t} ".encode("utf-8", "surrogatepass") for t in norms)]
-    size = np.array([len(c) for c in coded], np.int64)
-    raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-    if len(raw) < 3:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(norms)), size)
-    inside = of[2:] == of[:-2]
-    return mix((raw[:-2] << np.uint64(16) | raw[1:-1] << np.uint64(8) | raw[2:]) + np.uint64(1 << 40))[inside], of[:-2][inside]
-
-
-def line_keys(norms: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The different blocks of each normalised line, as signed 64-bit numbers, and the lines' sketches and levels."""
-    n = len(norms)
-    rings = [_rings(*features(norms), n) for features in (_words, _triples)]
-    found = [_blocks(*ring, tag, block) for tag, (ring, block) in enumerate(zip(rings, BLOCKS, strict=True))]
-    of, keys = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((keys, of))
-    of, keys = of[order], keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
-    return np.split(keys[new].view(np.int64), np.searchsorted(of[new], np.arange(1, n))), *_sketches(*rings[0])
+    return either(both(pairs, more), both(either(pairs, more), one(odd, one(d, e))))
 
 
-def with_keys(classes: DataFrame) -> DataFrame:
-    """id, len, sketch, level, keys (array of longs) for each class (id, norm): its length in characters and its blocks."""
+def _sketch(ring: Column, level: Column) -> Column:
+    """64 bits, of which each feature sets one; of many features, only those with level zeros in a row count, so that about
+    SKETCHED are left."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    mask = F.call_function("shiftleft", F.lit(64).cast("long"), level) - 64
+    return _once(mask, lambda m: F.aggregate(ring, F.lit(0).cast("long"), lambda s, x: F.when(x.bitwiseAND(m) == 0, s.bitwiseOR(bit(x))).otherwise(s)))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            norms = batch.column(1).to_pylist()
-            for at, to in passes(norms):
-                keys, sketch, level = line_keys(norms[at:to])
-                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-                column = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
-                lengths = pa.array([len(t) for t in norms[at:to]], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], lengths, pa.array(sketch), pa.array(level), column], names=names)
+def _blocks(ring: Column, block: int) -> Column:
+    """The SimHash of ``block`` features of the ring in a row, from the first after each cut on; if they are few, of LEAST
+    from each one on. Of still fewer features, the hash of all."""
+    n, bits = F.size(ring), 64 - (CUTS.bit_length() - 1)
+    of = lambda on, k: lambda x, i: simhash([x, *[F.get(on, i + j) for j in range(1, k)]], Column.bitwiseAND, Column.bitwiseOR, Column.bitwiseXOR)
+    cut = lambda on, x, i: (i == 0) | (F.shiftright(x, bits) != F.shiftright(F.get(on, i - 1), bits))
+    many = lambda on: F.filter(F.transform(ring, lambda x, i: F.when(cut(on, x, i), of(on, block)(x, i))), F.isnotnull)
+    some = lambda on: F.transform(ring, of(on, LEAST))
+    return _once(F.concat(ring, ring), lambda on: F.when(n > WHOLE, many(on)).when(n >= LEAST, some(on)).otherwise(F.array(F.xxhash64(ring))))
 
-    names = ["id", "len", "sketch", "level", "keys"]
-    return classes.select("id", "norm").mapInArrow(run, "id long, len int, sketch long, level int, keys array<long>")
+
+def with_keys(classes: DataFrame) -> DataFrame:
+    """id, len, sketch, level, keys (array of longs) for each class (id, norm): its length in characters and its blocks."""
+    norm = F.col("norm")
+    rows = classes.select("id", F.char_length(norm).alias("len"), word_features(norm).alias("ring"), F.when(F.char_length(norm) <= LETTERS_TO, letter_features(norm)).alias("letters"))
+    rows = rows.withColumn("level", F.greatest(F.floor(F.log2(F.greatest(F.size("ring"), F.lit(1)) / SKETCHED)), F.lit(0)).cast("int"))
+    keys = F.concat(_blocks(F.col("ring"), BLOCKS[0]), F.when(F.col("letters").isNull(), F.array().cast("array<long>")).otherwise(_blocks(F.col("letters"), BLOCKS[1])))
+    return rows.select("id", "len", _sketch(F.col("ring"), F.col("level")).alias("sketch"), "level", F.array_distinct(keys).alias("keys"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -239,24 +195,71 @@ def within(x: str, y: str, most: int) -> bool:
     return score <= most
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, linked: linked if the edit distance is at most (1 - SIMILARITY) of the longer line's length."""
+def _near(x: Column, y: Column, most: Column) -> Column:
+    """Whether the edit distance of two different lines, given as their words, is at most ``most``. Words that both begin or
+    end with are left out, as they don't change it; each word left has a space after it, so that one that is only in one
+    of them counts with its space."""
+    rest = 1 << 30
+    unlike = lambda u, v: F.array_position(F.zip_with(u, v, lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    back = lambda w, p: F.reverse(F.slice(w, p, rest))
+    left = lambda w, p, q: F.array_join(F.concat(F.slice(w, p, F.size(w) - p - q + 2), F.array(F.lit(""))), " ")
+    distance = lambda p, q: F.call_function("levenshtein", left(x, p, q), left(y, p, q), most)  # noqa: E731  -1 beyond most
+    return _once(unlike(x, y), lambda p: _once(unlike(back(x, p), back(y, p)), lambda q: distance(p, q) >= 0))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            linked = [within(x, y, int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)) for x, y in both]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
+def _most(x: Column, y: Column) -> Column:
+    """The edits that two lines of so many characters may differ by."""
+    return F.floor(F.greatest(x, y) * (1 - SIMILARITY) + 1e-9).cast("int")
 
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, linked: linked if the edit distance is at most (1 - SIMILARITY) of the longer line's length."""
+    needed = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"))
     texts = stored(small_join(classes.select("id", "norm"), needed, "id", "left_semi"))
     of = lambda c, name: texts.select(F.col("id").alias(c), F.col("norm").alias(name))
-    joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-    held = stored(joined.mapInArrow(run, "a long, b long, linked boolean"))
+    # few bytes are much work, so the number of tasks doesn't go by bytes
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = pairs.join(of("a", "x"), "a").repartition(tasks, "b").join(of("b", "y").repartition(tasks, "b"), "b")
+    split = joined.select("a", "b", _most(F.char_length("x"), F.char_length("y")).alias("most"), F.split("x", " ").alias("x"), F.split("y", " ").alias("y"))
+    held = stored(split.select("a", "b", _near(F.col("x"), F.col("y"), F.col("most")).alias("linked")))
     dropped(needed, texts)
     return held
 
 
+def _allowed(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether the lengths and sketches of two rows, named by a and b, let them be near."""
+    lengths = 100 * F.least(a("len"), b("len")) >= round(100 * SIMILARITY) * F.greatest(a("len"), b("len"))
+    most = DIFFER * (F.bit_count(a("sketch")) + F.bit_count(b("sketch"))) + BITS
+    return lengths & ((a("level") != b("level")) | (F.bit_count(a("sketch").bitwiseXOR(b("sketch"))) <= most))
+
+
+def _linked_in_blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: all links between rows (key, id, len, sketch, level, component, n, chars) of one key and two components.
+
+    A key's n rows of so many chars are dealt to blocks, and each two blocks, or one with itself, are one row, in which
+    the lines are held against each other; a pair in the least key that both have.
+    """
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
+    keys = stored(rows.groupBy("id").agg(F.collect_set("key").alias("keys")))
+    texts = stored(small_join(classes.select("id", "norm"), keys.select("id"), "id", "left_semi").join(keys, "id"))
+    dealt = rows.select("key", "id", "len", "sketch", "level", "component", parts.alias("parts"), F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int").alias("part"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id", "len", "sketch", "level", "component")
+    tasks, on = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "one", "two"]
+    about = ("part", "id", "len", "sketch", "level", "component", "keys", "norm")
+    blocks = dealt.join(texts, "id").repartition(tasks, *on).groupBy(*on).agg(F.collect_list(F.struct(*about)).alias("rows"))
+    lines = F.transform("rows", lambda r: r.withField("words", F.split(r["norm"], " ")).dropFields("norm"))
+    of = lambda part: F.filter("rows", lambda r: r["part"] == F.col(part))
+    sides = blocks.select(*on, lines.alias("rows")).select(*on, of("one").alias("left"), of("two").alias("right"))
+    fresh = lambda x, y: (x["component"] != y["component"]) & ((F.col("one") < F.col("two")) | (x["id"] < y["id"])) & _allowed(x.getField, y.getField)
+    least = lambda x, y: F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
+    linked = lambda x, y: fresh(x, y) & least(x, y) & _near(x["words"], y["words"], _most(x["len"], y["len"]))
+    found = F.transform("left", lambda x: F.transform(F.filter("right", lambda y: linked(x, y)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))))
+    links = stored(sides.select(F.explode(F.flatten(found)).alias("link")).select("link.a", "link.b"))
+    dropped(keys, texts)
+    return links
+
+
 def _placed(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """rows (key, id, ..) with the component of groups (id, component) that their id is in, or itself."""
     return small_join(rows, groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -281,32 +284,34 @@ def near_lines(classes: DataFrame) -> DataFrame:
 
     Each class is held against one of the least ones of its keys, then, where they aren't of one group yet, against the
     other ones, against another one of each key, and at last all against all of other groups, so no pair that shares a
-    key is left out.
+    key is left out. Keys that then have more than BLOCK rows are held in blocks.
     """
     signed = stored(with_keys(classes))
     keys = signed.select("id", "len", "sketch", "level", F.explode("keys").alias("key"))
     leaders = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     rows = stored(small_join(keys, leaders, "key", "left_semi"))
     dropped(signed, leaders)
-    allowed = 100 * F.least("len_a", "len_b") >= round(100 * SIMILARITY) * F.greatest("len_a", "len_b")
-    most = DIFFER * (F.bit_count("sketch_a") + F.bit_count("sketch_b")) + BITS
-    allowed &= (F.col("level_a") != F.col("level_b")) | (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= most)
+    allowed = _allowed(*[lambda name, s=s: F.col(f"{name}_{s}") for s in "ab"])
     about = ("id", "len", "sketch", "level", "component")
-    held, groups, open_rows = None, None, rows.withColumn("component", F.col("id"))
+    held, groups = None, None
     for turn in range(ROUNDS + 1):
-        if groups is not None:
-            open_rows = _placed(rows, groups)
-            mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-            open_rows = stored(small_join(open_rows, stored(mixed.select("key")), "key", "left_semi"))
-            dropped(rows)
-            rows = open_rows.drop("component")
-        left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in about]) for s in "ab")
+        open_rows = rows.withColumn("component", F.col("id")) if groups is None else _placed(rows, groups)
+        if groups is not None or turn == ROUNDS:
+            mixed = open_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("len").alias("chars"))
+            mixed = stored(mixed.filter("lo < hi").select("key", "n", "chars"))
+            open_rows = stored(small_join(open_rows, mixed, "key"))
+            dropped(rows, mixed)
+            rows = open_rows.drop("component", "n", "chars")
+        few = open_rows if turn < ROUNDS else open_rows.filter(F.col("n") <= BLOCK)
+        left, right = (few.select("key", *[F.col(c).alias(f"{c}_{s}") for c in about]) for s in "ab")
         if turn < ROUNDS:
             order = F.xxhash64("id_a", F.lit(turn)) if turn > 1 else F.col("id_a")
             left = left.groupBy("key").agg(F.min_by(F.struct(*[f"{c}_a" for c in about]), order).alias("x")).select("key", "x.*")
         met = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & allowed)
         if turn == ROUNDS:
             met = met.filter("id_a < id_b")
+            if not (large := open_rows.filter(F.col("n") > BLOCK)).isEmpty():
+                groups = _joined(groups, _linked_in_blocks(large, classes))
         if turn == 0:
             shared = met.groupBy("id_a", "id_b").agg(F.count("*").alias("n"))
             met = shared.groupBy("id_b").agg(F.min_by("id_a", F.struct(-F.col("n"), "id_a")).alias("id_a"))
@@ -330,13 +335,15 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm")
     )
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()))
+    lines = stored(every.drop("norm"))
+    dropped(every)
     part = near_lines(classes)
     narrow = classes.select("id", "h1", "h2", "first", "n")
     placed = small_join(narrow, part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
     repeated = stored(placed.join(kept, "component").select("h1", "h2", "keep"))
     dropped(classes)
-    rows = small_join(every.drop("norm"), repeated, ["h1", "h2"])
+    rows = small_join(lines, repeated, ["h1", "h2"])
     return rows.filter(~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("keep"))).select("doc_id", "text_hash", "line_no")
 
 
