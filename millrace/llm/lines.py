@@ -198,13 +198,16 @@ def within(x: str, y: str, most: int) -> bool:
 def _near(x: Column, y: Column, most: Column) -> Column:
     """Whether the edit distance of two different lines, given as their words, is at most ``most``. Words that both begin or
     end with are left out, as they don't change it; each word left has a space after it, so that one that is only in one
-    of them counts with its space."""
-    rest = 1 << 30
+    of them counts with its space. Edits of word after word, from the front or the back, that are few enough prove it, in
+    time that grows with the length alone; else the distance is counted."""
+    edits = lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(F.coalesce(F.levenshtein(a, b), F.char_length(F.coalesce(a, b)) + 1))
+    by_word = lambda u, v: F.aggregate(F.zip_with(u, v, edits), F.lit(0), lambda n, k: n + k) <= most
     unlike = lambda u, v: F.array_position(F.zip_with(u, v, lambda a, b: a.eqNullSafe(b)), False).cast("int")
-    back = lambda w, p: F.reverse(F.slice(w, p, rest))
+    back = lambda w, p: F.reverse(F.slice(w, p, 1 << 30))
     left = lambda w, p, q: F.array_join(F.concat(F.slice(w, p, F.size(w) - p - q + 2), F.array(F.lit(""))), " ")
     distance = lambda p, q: F.call_function("levenshtein", left(x, p, q), left(y, p, q), most)  # noqa: E731  -1 beyond most
-    return _once(unlike(x, y), lambda p: _once(unlike(back(x, p), back(y, p)), lambda q: distance(p, q) >= 0))
+    counted = _once(unlike(x, y), lambda p: _once(unlike(back(x, p), back(y, p)), lambda q: distance(p, q) >= 0))
+    return by_word(x, y) | by_word(F.reverse(x), F.reverse(y)) | counted
 
 
 def _most(x: Column, y: Column) -> Column:
