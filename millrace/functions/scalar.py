@@ -51,8 +51,17 @@ def _log(f: Callable[[Column], Column], x: Column) -> Column:
 
 
 def round_(x: Column, digits: int = 0) -> Column:
-    """Halves away from zero; digits is a literal."""
-    return F.round(_double(x), digits)
+    """Halves away from zero; digits is a literal. A number just below a half counts as one if times 10 ** digits it is one."""
+    x = _double(x)
+    if digits <= 0:
+        return F.round(x, digits)
+    scaled = x * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < F.lit(float("inf")), F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
+
+
+def _integral(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """f gives bigint; what has no fraction, or is no number, stays."""
+    return lambda x: F.when(F.abs(_double(x)) < F.lit(2.0**53), _double(f(x))).otherwise(_double(x))
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -350,7 +359,7 @@ def type_name(kind: T.DataType) -> str:
 _BLANK = r"[\s\p{Z}]+"
 #: By name. Lambdas are those that a built-in function says whole.
 SCALARS: dict[str, Callable[..., Column]] = {
-    "abs": lambda x: F.abs(_double(x)), "ceil": lambda x: _double(F.ceil(x)), "floor": lambda x: _double(F.floor(x)),
+    "abs": lambda x: F.abs(_double(x)), "ceil": _integral(F.ceil), "floor": _integral(F.floor),
     "round": round_, "sqrt": lambda x: F.sqrt(_double(x)), "pow": F.pow, "exp": F.exp, "log": log, "log2": log2, "log10": log10,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "atan2": F.atan2,
     "pi": F.pi, "e": F.e, "sign": lambda x: _big(F.signum(_double(x))), "modulo": modulo, "intDiv": int_div,
